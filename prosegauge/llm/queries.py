@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from prosegauge.llm.common import read_table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosegauge.llm.packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosegauge.llm.token_files import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosegauge.llm.simhash import near_duplicates
 
@@ -24,6 +36,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
     "op9_bpe_codec": op9_bpe_codec,
 }
