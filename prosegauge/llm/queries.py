@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import read_table
+from prosegauge.llm.common import crc_bucket, read_table
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosegauge.llm import quality_model as q
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held = crc_bucket("doc_id", 5) == 0
+    scored = q.score(docs, q.learn(docs, labels, ~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= q.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosegauge.llm import toxicity as t
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held = crc_bucket("doc_id", 4) == 2
+    scored = t.score(docs, t.learn(docs, labels, ~held))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= t.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosegauge.llm.bpe import digests
 
@@ -39,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
+    "op7_quality_model": op7_quality_model,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe_codec": op9_bpe_codec,
 }
 ORACLE_SQL: dict[str, str] = {}
