@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import sys
+import unicodedata
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,63 +116,161 @@ class TwoGenerationCache(dict):
         return [k for k in dict.fromkeys(k for k in keys if k not in self) if k not in old]
 
 
-def ascii_chunks(text: str) -> list[str]:
-    """Pieces between ASCII white space; empty strings stay and mean nothing."""
-    for c in "\n\t\r":
-        if c in text:
-            text = text.replace(c, " ")
-    return text.split(" ")
+class PieceCodec:
+    """Encoding of whole texts by way of their pieces between ASCII white space, which are memoised.
 
-
-class ChunkEncoder:
-    """Whole-text encoding with the tokenizers library, memoised by white-space chunk.
-
-    The vocabulary's normaliser, splitter and merges never look across ASCII
-    white space, so a text's ids are its chunks' ids in order. Values are
-    little-endian 32-bit ids, ready to be joined and check-summed.
+    A subclass says what the ids of new pieces are; values of the memo are
+    little-endian 32-bit ids. Pieces are split and deduplicated by Arrow and the
+    ids gathered by numpy, so Python handles each distinct piece of a slice once.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        assert sys.byteorder == "little" and array("I").itemsize == 4
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.cache = TwoGenerationCache(self._one, limit)
+    #: Bytes of text that are encoded together.
+    SLICE = 16_000_000
 
-    def _one(self, chunk: str) -> bytes:
-        return self._learn([chunk])[0]
+    def __init__(self, limit: int):
+        assert sys.byteorder == "little" and array("I").itemsize == 4
+        self.cache = TwoGenerationCache(lambda c: self.learn([c])[0], limit)
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        raise NotImplementedError
 
-    def encode(self, documents: list[str]) -> Iterator[bytes]:
-        """The ids of each text, as bytes."""
+    def values(self, pieces: list[str]) -> list[bytes]:
         cache = self.cache
-        for text in documents:
-            chunks = ascii_chunks(text)
-            found = list(map(cache.get, chunks))
-            if None in found:
-                old = cache.old
-                new = [c for c in dict.fromkeys(c for c, v in zip(chunks, found, strict=True) if v is None) if c not in old]
-                for i in range(0, len(new), 20_000):
-                    cache.update(zip(new[i : i + 20_000], self._learn(new[i : i + 20_000]), strict=True))
-                found = map(cache.__getitem__, chunks)
-            yield b"".join(found)
-            cache.trim()
-
+        found = list(map(cache.get, pieces))
+        if None in found:
+            old = cache.old
+            new = [p for p, v in zip(pieces, found, strict=True) if v is None and p not in old]
+            for i in range(0, len(new), 100_000):
+                cache.update(zip(new[i : i + 100_000], self.learn(new[i : i + 100_000]), strict=True))
+            found = list(map(cache.__getitem__, pieces))
+        cache.trim()
+        return found
+
+    def encode_slice(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
+        pieces = lists.values.dictionary_encode()
+        values = self.values(pieces.dictionary.to_pylist())
+        each = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool, begin = np.frombuffer(b"".join(values), "<u4"), np.cumsum(each) - each
+        index = pieces.indices.to_numpy(zero_copy_only=False)
+        counts = each[index]
+        ends = np.cumsum(counts)
+        ids = pool[np.repeat(begin[index] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.append(0, ends)[lists.offsets.to_numpy()]
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of some texts after another, and where each text's begin (one more at the end); nulls are empty."""
+        size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(size) - size) // self.SLICE
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(column)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield self.encode_slice(column.slice(a, b - a))
+
+    def encode_each(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for ids, at in self.encode(column):
+            at = at.tolist()
+            yield from (ids[a:b] for a, b in zip(at, at[1:], strict=False))
+
+
+#: Marks that may end a piece without changing how the word before them is encoded.
+_ENDS = ".,!?;:*%&#$|"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies: printable bytes stand for themselves, the others follow from U+0100."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class LibraryCodec(PieceCodec):
+    """The tokenizers library's ids of each piece.
+
+    A piece that is one word of letters, with marks after it or not, is what the
+    vocabulary's normaliser and splitter make of it in a known way: lower case,
+    the word and the run of marks apart. Such words go to the library in rows of
+    a hundred, past the normaliser; the ends of words show in the ids. All other
+    pieces go through the whole library one by one.
+    """
 
-_encoders: dict[str, ChunkEncoder] = {}
+    ROW = 100
 
+    def __init__(self, path: str, limit: int = 700_000):
+        super().__init__(limit)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
-def chunk_encoder(path: str | None) -> ChunkEncoder:
-    """One encoder for each vocabulary and Python worker."""
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.spaced = Tokenizer.from_file(path)
+        self.spaced.no_truncation()
+        self.spaced.no_padding()
+        self.spaced.normalizer = None
+        self.spaced.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.table = byte_alphabet()
+        self.parts = TwoGenerationCache(lambda w: self._words([w])[0], limit // 2)
+        self.marks: dict[str, bytes] = {}
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in words]
+        rows = [" ".join(spelled[i : i + self.ROW]) for i in range(0, len(words), self.ROW)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.spaced.encode_batch_fast(rows, add_special_tokens=False)])
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        if len(cuts) != len(words) + 1:
+            raise ValueError("the vocabulary does not mark the ends of words")
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        split = []
+        for p in pieces:
+            low = p.lower()
+            word = low.rstrip(_ENDS)
+            if word.isalpha() and (word.isascii() or ("ς" not in word and unicodedata.is_normalized("NFC", word) and len(low) == len(p))):
+                split.append((word, low[len(word) :]))
+            else:
+                split.append((None, p))
+        parts, marks = self.parts, self.marks
+        new = parts.missing(w for w, _ in split if w)
+        parts.update(zip(new, self._words(new), strict=True))
+        rare = [p for w, p in split if w is None]
+        other = dict(zip(rare, self._pieces(rare), strict=True))
+        out = []
+        for w, p in split:
+            if w is None:
+                out.append(other[p])
+            elif not p:
+                out.append(parts[w])
+            else:
+                if p not in marks:
+                    if len(marks) > 100_000:
+                        marks.clear()
+                    marks[p] = self._pieces([p])[0]
+                out.append(parts[w] + marks[p])
+        parts.trim()
+        return out
+
+
+_codecs: dict[str, LibraryCodec] = {}
+
+
+def library_codec(path: str | None) -> LibraryCodec:
+    """One codec for each vocabulary and Python worker."""
     path = path or vocabulary_path()
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    if path not in _codecs:
+        _codecs[path] = LibraryCodec(path)
+    return _codecs[path]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import chunk_encoder, durable, small_arrow_batches, texts
+from prosegauge.llm.common import durable, library_codec, small_arrow_batches
 
 CAPACITY = 2048
 PIECE = 400
@@ -57,15 +56,14 @@ def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int,
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, end: int, capacity: int, piece: int) -> Iterator[pa.RecordBatch]:
-    encoder = chunk_encoder(path)
-    tail = array("I", [end]).tobytes()
+    codec = library_codec(path)
+    tail = np.array([end], "<u4")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
     row = 0
     for b in batches:
         found = []
-        for doc_id, raw in zip(b.column("doc_id").to_pylist(), encoder.encode(texts(b)), strict=True):
-            raw = memoryview(raw + tail)
-            n = len(raw) // 4
+        for doc_id, ids in zip(b.column("doc_id").to_pylist(), codec.encode_each(b.column("text")), strict=True):
+            raw, n = memoryview(np.concatenate([ids, tail]).tobytes()), len(ids) + 1
             found += [(doc_id, s, k, zlib.crc32(raw[4 * s : 4 * (s + k)]), n, row) for s, k in cut(n, capacity, piece)]
             row += 1
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 6, names)

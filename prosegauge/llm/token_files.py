@@ -1,10 +1,9 @@
 """Token ids in files: canonical length-limited Huffman codes in independent blocks.
 
-Two passes over the documents. The first sums the counts of all ids (combined in
-each task, then by id), from which package-merge gives the best code lengths of
-at most ``LONGEST`` bits; code words are canonical, so a file needs the lengths
-alone. The second sorts documents by doc_id with a range shuffle and writes each
-range as one file of blocks. Spark's own writer holds the blocks (as a binary
+A range shuffle sorts the documents by doc_id. The counts of all ids are summed
+(in each task, then by id), and package-merge gives the best code lengths of at
+most ``LONGEST`` bits; code words are canonical, so the lengths alone are kept.
+Then every range is written as blocks, in files of ascending doc_ids. Spark's own writer holds the blocks (as a binary
 column of Parquet), so a lost task is written again and only whole files count,
 in any store that Spark reaches.
 
@@ -28,7 +27,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -37,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import chunk_encoder, new_path, shuffle_partitions, small_arrow_batches, texts
+from prosegauge.llm.common import library_codec, new_path, remove, shuffle_partitions, small_arrow_batches
 
 LONGEST = 16
 BLOCK_IDS = 1 << 17
 DISTANCE = 128
 _HEAD = struct.Struct("<4sIIIQ")
 _MAGIC = b"HTB1"
-_BLOCKS = "shard int, block int, n_docs int, first long, n_tokens long, payload binary"
+_BLOCKS = "shard int, n_docs int, first long, n_tokens long, payload binary"
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -100,9 +98,9 @@ def decode_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarra
     return ids, sizes
 
 
-def encode_block(docs: list[tuple[int | None, bytes]], codes: np.ndarray, lengths: np.ndarray, distance: int = DISTANCE) -> bytes:
-    """One block of documents, each (doc_id, ids as little-endian 32-bit integers)."""
-    ids = np.frombuffer(b"".join(raw for _, raw in docs), "<u4")
+def encode_block(docs: list[tuple[int | None, bytes]], codes: np.ndarray, lengths: np.ndarray, distance: int = DISTANCE, kind: str = "<u4") -> bytes:
+    """One block of documents, each (doc_id, ids as integers of ``kind``)."""
+    ids = np.frombuffer(b"".join(raw for _, raw in docs), kind)
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     bits = int(ends[-1]) if len(ids) else 0
@@ -117,7 +115,7 @@ def encode_block(docs: list[tuple[int | None, bytes]], codes: np.ndarray, length
         [
             _HEAD.pack(_MAGIC, len(docs), len(ids), distance, bits),
             np.array([d or 0 for d, _ in docs], "<i8").tobytes(),
-            np.array([len(raw) // 4 for _, raw in docs], "<u4").tobytes(),
+            np.array([len(raw) // np.dtype(kind).itemsize for _, raw in docs], "<u4").tobytes(),
             bytes(d is None for d, _ in docs),
             start[::distance].astype("<u4").tobytes(),
             stream,
@@ -151,62 +149,80 @@ def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray], longest:
     return [None if z else d for d, z in zip(doc_ids, nulls.tolist(), strict=True)], counts, out.ravel()[:n]
 
 
-def _counts(batches: Iterator[pa.RecordBatch], path: str | None, end: int) -> Iterator[pa.RecordBatch]:
-    encoder = chunk_encoder(path)
-    total = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
+def _ids(batches: Iterator[pa.RecordBatch], path: str | None, end: int, kind: str) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    codec = library_codec(path)
+    tail = np.array([end], kind)
+    shard, first = TaskContext.get().partitionId(), 0
+    for b in batches:
+        raw, firsts = [], []
+        for ids in codec.encode_each(b.column("text")):
+            raw.append(np.concatenate([ids.astype(kind), tail]).tobytes())
+            firsts.append(first)
+            first += len(ids) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(raw), pa.int32()), pa.array(firsts, pa.int64()), b.column("doc_id"), pa.array(raw, pa.binary())], ["shard", "first", "doc_id", "ids"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1, np.int64)
     for b in batches:
-        for raw in encoder.encode(texts(b)):
-            found = np.bincount(np.frombuffer(raw, "<u4"))
-            total[: len(found)] += found
-        total[end] += b.num_rows
+        found = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind), minlength=len(total))
+        found[: len(total)] += total
+        total = found
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str | None, end: int, lengths: bytes, block_ids: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    encoder = chunk_encoder(path)
-    tail = array("I", [end]).tobytes()
+def _blocks(batches: Iterator[pa.RecordBatch], kind: str, lengths: bytes, block_ids: int) -> Iterator[pa.RecordBatch]:
     size = np.frombuffer(lengths, np.uint8)
     codes = canonical_codes(size)
-    shard = TaskContext.get().partitionId()
+    width = np.dtype(kind).itemsize
     waiting: list[tuple[int | None, bytes]] = []
-    held = first = block = 0
+    held, begin = 0, (0, 0)
 
     def flush() -> pa.RecordBatch:
-        nonlocal waiting, held, first, block
-        row = [[shard], [block], [len(waiting)], [first], [held], [encode_block(waiting, codes, size)]]
-        first, block, waiting, held = first + held, block + 1, [], 0
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [c.split()[0] for c in _BLOCKS.split(", ")])
+        row = [[begin[0]], [len(waiting)], [begin[1]], [held], [encode_block(waiting, codes, size, kind=kind)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [c.split()[0] for c in _BLOCKS.split(", ")])
 
     for b in batches:
-        for doc_id, raw in zip(b.column("doc_id").to_pylist(), encoder.encode(texts(b)), strict=True):
-            n = len(raw) // 4 + 1
-            if waiting and held + n > block_ids:
+        for shard, first, doc_id, raw in zip(*(b.column(c).to_pylist() for c in ("shard", "first", "doc_id", "ids")), strict=True):
+            n = len(raw) // width
+            if waiting and (held + n > block_ids or (shard, first) != (begin[0], begin[1] + held)):
                 yield flush()
-            waiting.append((doc_id, raw + tail))
+                waiting, held = [], 0
+            if not waiting:
+                begin = (shard, first)
+            waiting.append((doc_id, raw))
             held += n
     if waiting:
         yield flush()
 
 
-def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: int = 2, block_ids: int = BLOCK_IDS) -> None:
-    """Write the ids of ``docs(doc_id, text)`` to ``out``: ``codebook`` and ``blocks``, one file for each range of doc_ids."""
+def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: int = 2, block_ids: int = BLOCK_IDS, wide: bool = False) -> None:
+    """Write the ids of ``docs(doc_id, text)`` to ``out``: ``codebook`` and ``blocks``, in ranges of ascending doc_ids.
+
+    The texts are dealt by ranges and encoded once; their ids wait in a table
+    (16 bits each, 32 if ``wide``) until the counts of all of them are known.
+    """
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    docs = docs.select("doc_id", "text")
-    sums = docs.mapInArrow(partial(_counts, path=path, end=end), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = sums.collect()  # one row for each id of the vocabulary at most
+    kind = "<u4" if wide else "<u2"
+    keyed = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+    wait = new_path(spark, "ids")
+    schema = "shard int, first long, doc_id long, ids binary"
+    ranged.select("doc_id", "text").mapInArrow(partial(_ids, path=path, end=end, kind=kind), schema).write.option("compression", "zstd").parquet(wait)
+    ids = spark.read.schema(schema).parquet(wait)
+    rows = ids.select("ids").mapInArrow(partial(_counts, kind=kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
     counts = np.zeros(max([r["id"] for r in rows], default=0) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts).tobytes()
     spark.createDataFrame([(LONGEST, lengths)], "longest int, lengths binary").coalesce(1).write.parquet(f"{out}/codebook")
-    keyed = docs.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    ranged = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
-    blocks = ranged.select("doc_id", "text").mapInArrow(partial(_blocks, path=path, end=end, lengths=lengths, block_ids=block_ids), _BLOCKS)
-    blocks.write.option("compression", "none").parquet(f"{out}/blocks")
+    blocks = ids.mapInArrow(partial(_blocks, kind=kind, lengths=lengths, block_ids=block_ids), _BLOCKS)
+    blocks.sortWithinPartitions("shard", "first").write.option("compression", "none").parquet(f"{out}/blocks")
+    remove(spark, wait)
 
 
 def _read(batches: Iterator[pa.RecordBatch], lengths: bytes, longest: int, base: dict[int, int], whole: bool) -> Iterator[pa.RecordBatch]:
