@@ -35,14 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from prosegauge.llm.common import TwoGenerationCache, ascii_chunks, small_arrow_batches, texts, vocabulary_path
-
-
-def byte_alphabet() -> dict[int, str]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable bytes stand for themselves, the others follow from U+0100."""
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(printable)]
-    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+from prosegauge.llm.common import PieceCodec, TwoGenerationCache, byte_alphabet, small_arrow_batches, vocabulary_path
 
 
 class Vocabulary:
@@ -185,16 +178,12 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray,
     return symbol[:n][left].astype("<u4"), np.append(0, np.cumsum(left))[starts]
 
 
-#: Texts whose new pieces are merged together, by their characters.
-ROUND_CHARS = 1_500_000
-
+class PairIndexCodec(PieceCodec):
+    """Encoding of whole texts by pair occurrence indices over the new words of a slice."""
 
-class PairIndexCodec:
-    """Encoding of whole texts; the memos hold the ids of pieces and words as little-endian 32-bit integers."""
-
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
+        super().__init__(limit)
         self.vocabulary = Vocabulary(path)
-        self.cache = TwoGenerationCache(lambda c: self._learn([c])[0], limit)
         self.memo = TwoGenerationCache(lambda w: self._learn_words([w])[0], limit // 2)
 
     def _learn_words(self, words: list[str]) -> list[bytes]:
@@ -202,9 +191,9 @@ class PairIndexCodec:
         raw, cuts = ids.tobytes(), (cuts * 4).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
+    def learn(self, pieces: list[str]) -> list[bytes]:
         plain, words, memo = self.vocabulary.split, self.vocabulary.words, self.memo
-        split = [plain(c.lower()) if c.isascii() and "<" not in c else words(c) for c in chunks]
+        split = [plain(p.lower()) if p.isascii() and "<" not in p else words(p) for p in pieces]
         new = memo.missing(w for s in split for w in s if isinstance(w, str))
         memo.update(zip(new, self._learn_words(new), strict=True))
         known = lambda w: memo[w] if isinstance(w, str) else array("I", [w]).tobytes()
@@ -212,26 +201,8 @@ class PairIndexCodec:
         memo.trim()
         return out
 
-    def encode(self, documents: list[str]) -> Iterator[bytes]:
-        """The ids of each text, as bytes."""
-        cache, size, round_ = self.cache, 0, []
-        for k, text in enumerate(documents):
-            round_.append(ascii_chunks(text))
-            size += len(text)
-            if size < ROUND_CHARS and k + 1 < len(documents):
-                continue
-            found = [list(map(cache.get, s)) for s in round_]
-            old = cache.old
-            new = [c for c in dict.fromkeys(c for s, f in zip(round_, found, strict=True) if None in f for c, v in zip(s, f, strict=True) if v is None) if c not in old]
-            for i in range(0, len(new), 100_000):
-                cache.update(zip(new[i : i + 100_000], self._learn(new[i : i + 100_000]), strict=True))
-            for s, f in zip(round_, found, strict=True):
-                yield b"".join(map(cache.__getitem__, s) if None in f else f)
-            cache.trim()
-            size, round_ = 0, []
-
     def ids(self, text: str) -> list[int]:
-        return np.frombuffer(next(self.encode([text])), "<u4").tolist()
+        return next(self.encode_each(pa.array([text]))).tolist()
 
     def decode(self, ids: list[int], skip_special_tokens: bool = False) -> str:
         """The tokens joined by spaces: the vocabulary has no decoder of its own. Unknown ids are left out."""
@@ -255,8 +226,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
     names, digits = [own.vocabulary.tokens.get(i, "") for i in range(top)], list(map(str, range(top)))
     for b in batches:
         counts, sums, decoded = [], [], []
-        for raw in own.encode(texts(b)):
-            ids = np.frombuffer(raw, "<u4").tolist()
+        for ids in map(np.ndarray.tolist, own.encode_each(b.column("text"))):
             counts.append(len(ids))
             sums.append(hashlib.sha256(" ".join([digits[i] for i in ids]).encode()).hexdigest())
             decoded.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
@@ -266,7 +236,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
 def _encoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
     own = codec(path)
     for b in batches:
-        ids = [np.frombuffer(raw, "<i4") for raw in own.encode(texts(b))]
+        ids = [x.astype(np.int32) for x in own.encode_each(b.column("text"))]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
