@@ -53,6 +53,13 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosegauge.llm.pii import KINDS, find
+
+    found = find(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
@@ -60,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_model": op7_quality_model,
     "op8_toxicity": op8_toxicity,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL: dict[str, str] = {}
