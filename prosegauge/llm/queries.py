@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from prosegauge.llm.common import crc_bucket, read_table
 
 
+def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosegauge.llm.quality_rules import judge
+
+    verdict = judge(read_table(spark, sf_dir, "documents"))
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosegauge.llm.packing import pack_documents
 
@@ -61,6 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_divergence": op1_divergence,
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
