@@ -36,6 +36,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosegauge.llm.vectors import near_duplicates
+
+    found = near_duplicates(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosegauge.llm import quality_model as q
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
+    "op6_vectors": op6_vectors,
     "op7_quality_model": op7_quality_model,
     "op8_toxicity": op8_toxicity,
     "op9_bpe_codec": op9_bpe_codec,
