@@ -36,6 +36,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from prosegauge.llm.html_main import main_text
+
+    found = main_text(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosegauge.llm.vectors import near_duplicates
 
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
     "op4_simhash": op4_simhash,
+    "op5_html_main": op5_html_main,
     "op6_vectors": op6_vectors,
     "op7_quality_model": op7_quality_model,
     "op8_toxicity": op8_toxicity,
