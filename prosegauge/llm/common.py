@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 #: Used only when the session names no folder (tests on one machine).
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
 #: Rows handed to Python at once: whole texts, so far fewer than Spark's 10,000.
-ARROW_ROWS = "1000"
+ARROW_ROWS = 1000
+#: The same where texts are encoded: more rows share more words.
+ENCODER_ROWS = 2500
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -67,10 +69,10 @@ def durable_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def small_arrow_batches(spark: SparkSession) -> None:
-    """Whole documents go to Python in small record batches, so that a worker's memory stays bounded."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Whole documents go to Python in small record batches, so that a worker's memory stays bounded; a size that the session chose stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in ("10000", str(ARROW_ROWS), str(ENCODER_ROWS)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
