@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import durable, library_codec, small_arrow_batches
+from prosegauge.llm.common import ENCODER_ROWS, durable, library_codec, small_arrow_batches
 
 CAPACITY = 2048
 PIECE = 400
@@ -113,9 +113,10 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> np.ndarray:
     k = max(1, -(-total // capacity))
     while len(sizes):
         window = difference(sizes, k)
-        if np.bincount(window, weights=sizes, minlength=k).max() <= capacity:
+        most = int(np.bincount(window, weights=sizes, minlength=k).max())
+        if most <= capacity:
             return window
-        k += max(1, k // 500)
+        k = max(k + 1, k * most // capacity)  # near-equal windows shrink as their number grows
     return np.zeros(0, np.int64)
 
 
@@ -137,7 +138,7 @@ def _pack_group(group: pd.DataFrame, capacity: int, stride: int) -> pd.DataFrame
 
 def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """The pieces of ``docs(doc_id, text)`` with the sequence and offset of each."""
-    small_arrow_batches(docs.sparkSession)
+    small_arrow_batches(docs.sparkSession, ENCODER_ROWS)
     cut_up = docs.select("doc_id", "text").mapInArrow(partial(_pieces, path=path, end=end, capacity=capacity, piece=piece), PIECES)
     # a row's number within its task tells apart the pieces of repeated rows
     pieces = durable(cut_up.withColumn("salt", F.xxhash64(F.spark_partition_id(), "salt")), "pieces")
