@@ -97,11 +97,20 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?U)\n\s*\n", -1), strip), lambda p: n_words(p) >= 5)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Shared distinct lower-case words over those of the shorter text."""
-    x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))
-    least = F.least(F.size(x), F.size(y))
-    return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).otherwise(0.0)
+    both = F.struct(F.array_distinct(words(F.lower(a))).alias("x"), F.array_distinct(words(F.lower(b))).alias("y"))
+
+    def share(v: Column) -> Column:
+        least = F.least(F.size(v["x"]), F.size(v["y"]))
+        return F.when(least > 0, F.size(F.array_intersect(v["x"], v["y"])) / least).otherwise(0.0)
+
+    return let(both, share)
 
 
 def find_line(lower_lines: Column, snippet: Column) -> Column:

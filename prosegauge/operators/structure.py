@@ -15,7 +15,8 @@ TOLERANCE, LEAST_RUN = 3, 3
 PARTICIPIAL = r"(?Umd),\s+\w+ing\s+[\w\s]+[.!?]$"
 NEGATIVE_PARALLELISM = r"(?id)(?:it'?s not .{3,40}(?:,|—|-{1,2})\s*it'?s|it'?s less about .{3,40} and more about|not just .{3,40},?\s*but also|more than just .{3,40}\.\s*it'?s)"
 SELF_ANSWER = r"(?Umd)(?:^|\. )(?:The|What|Why|How) [^.?]{3,40}\?\s+[A-Z][^.?]{2,40}\."
-TRICOLON = r"(?Ui)([^,]{2,60}),\s+([^,]{2,60}),?\s+and\s+([^,]{2,60})"
+# the first part ends before a comma, which it cannot hold: possessive, it matches the same without going back
+TRICOLON = r"(?Ui)[^,]{2,60}+,\s+[^,]{2,60},?\s+and\s+[^,]{2,60}"
 BOTH_SIDES = r"(?Uis)on\s+(?:the\s+)?one\s+hand\b.*?\bon\s+the\s+other\s+hand\b"
 ANALOGY = r"(?Uid)just\s+as\s+.{10,80}just\s+as\s+"
 DISCLAIMER = r"(?Ui)(?:this\s+is\s+not\s+(?:an?\s+)?exhaustive|not\s+(?:an?\s+)?exhaustive\s+(?:list|treatment|analysis|overview)|beyond\s+the\s+scope\s+of\s+this|space\s+does\s+not\s+permit|there\s+are[,\s]+of\s+course[,\s]+(?:important\s+)?(?:caveats|limitations)|this\s+analysis\s+has\s+(?:certain\s+)?limitations)"
@@ -51,16 +52,16 @@ def length_std() -> Column:
 
 
 def paragraph_sentences() -> Column:
-    return F.transform("paras", lambda p: F.size(seg.sentences(p)).cast("double"))
+    """The sentences of each paragraph: a column of its own, ``para_sents``, as splitting is dear."""
+    return F.transform("paras", seg.sentences)
 
 
 def fractal() -> Column:
     """Paragraphs (from 1) of three sentences or more whose first and last overlap by more than half."""
-    def of(p: Column, i: Column) -> Column:
-        s = seg.sentences(p)
-        return F.struct((i + 1).alias("i"), F.when(F.size(s) >= 3, seg.overlap(F.try_element_at(s, F.lit(1)), F.try_element_at(s, F.lit(-1)))).alias("x"))
+    def of(s: Column, i: Column) -> Column:
+        return F.struct((i + 1).alias("i"), F.when(F.size(s) >= 3, seg.overlap(F.get(s, F.lit(0)), F.element_at(s, -1))).alias("x"))
 
-    return F.filter(F.transform("paras", of), lambda r: F.coalesce(r["x"], F.lit(0.0)) > 0.5)
+    return F.filter(F.transform("para_sents", of), lambda r: F.coalesce(r["x"], F.lit(0.0)) > 0.5)
 
 
 def conclusion_overlap() -> Column:
@@ -89,7 +90,7 @@ def signals() -> dict[str, Column]:
         "st_std": length_std(),
         "st_streaks": streaks(),
         "st_participial": participial(),
-        "st_counts": paragraph_sentences(),
+        "st_counts": F.transform("para_sents", lambda s: F.size(s).cast("double")),
         "st_fractal": fractal(),
         "st_conclusion": conclusion_overlap(),
         "st_anaphora": anaphora(),
@@ -97,6 +98,10 @@ def signals() -> dict[str, Column]:
     } | {f"st_{name}": found(p) for name, p in EXTRACTED.items()}
 
 
+def first_signals() -> dict[str, Column]:
+    return {"para_sents": paragraph_sentences()}
+
+
 def tricolon_flag() -> Column:
     return F.size("st_tricolon") >= F.greatest(F.lit(3), F.floor(F.size("sents") / 8).cast("int"))
 

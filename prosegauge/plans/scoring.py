@@ -18,7 +18,7 @@ MODULES = {"vocabulary": vocabulary, "phrases": phrases, "structure": structure,
 
 def prepared(docs: DataFrame, seed: bytes = b"", text: str = "text", native: bool = False) -> DataFrame:
     """``docs`` with segments and signals."""
-    df = tone.signals(segment(docs, text, native)).withColumns(structure.signals() | rhythm.signals() | burstiness.signals())
+    df = tone.signals(segment(docs, text, native)).withColumns(structure.first_signals()).withColumns(structure.signals() | rhythm.signals() | burstiness.signals())
     for step in [*punctuation.signals(), *connectives.signals()]:
         df = df.withColumns(step)
     return df.withColumn("similarity", compression.similarity(F.col("t"), seed) if seed else F.lit(None).cast("double"))
