@@ -17,6 +17,7 @@ from prosegauge.functions import lexicons as lex
 #: White space as Python's str.split() knows it, for Java's regex.
 WHITE = r"[\s\x{1c}-\x{1f}]"
 _STOP = ""  # stands for a full stop that ends no sentence
+# Where lines and sentences end.
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 SPLIT_SENTENCES = r"(?U)(?<=[.!?])[\"”)]*\s+(?=[A-Z\"“(])"
 _ABBREVIATED = r"(?Ui)\b(" + "|".join(a.replace(".", r"\.") for a in lex.ABBREVIATIONS) + r")\."

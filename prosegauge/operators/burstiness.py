@@ -3,6 +3,8 @@
 The row-local form is the default: a text's own tokens are sorted with their
 places, so equal words lie together and one fold sees all gaps, without a
 shuffle. ``by_window`` is the relational form over exploded rows.
+
+The thresholds, weights and texts of hits are fixed values.
 """
 
 from __future__ import annotations

@@ -2,6 +2,8 @@
 
 Spark has no such primitive, so this is an Arrow UDF over the standard library.
 The seed is a parameter; without one the check gives 0.
+
+The thresholds, weights and texts of hits are fixed values.
 """
 
 from __future__ import annotations

@@ -1,4 +1,7 @@
-"""Density of discourse connectives."""
+"""Density of discourse connectives.
+
+The thresholds, weights and texts of hits are fixed values.
+"""
 
 from __future__ import annotations
 

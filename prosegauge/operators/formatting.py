@@ -1,4 +1,7 @@
-"""Dashes, bold bullets and headers. Reported, with weight zero in the score."""
+"""Dashes, bold bullets and headers. Reported, with weight zero in the score.
+
+The thresholds, weights and texts of hits are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import segments as seg
 
+# What each pattern accepts.
 DASH = r"(?U)—|–|(?<!\w)--(?!\w)"
 BOLD_BULLET = r"(?Umd)^[\s]*[-*]\s+\*\*[^*]+\*\*"
 HEADER = r"(?Umd)^#{1,6}\s+"

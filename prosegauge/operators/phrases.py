@@ -1,4 +1,7 @@
-"""Stock phrases and flagged sentence beginnings."""
+"""Stock phrases and flagged sentence beginnings.
+
+The thresholds, weights and texts of hits are fixed values.
+"""
 
 from __future__ import annotations
 

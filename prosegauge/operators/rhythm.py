@@ -1,4 +1,7 @@
-"""Variation of sentence lengths."""
+"""Variation of sentence lengths.
+
+The thresholds, weights and texts of hits are fixed values.
+"""
 
 from __future__ import annotations
 

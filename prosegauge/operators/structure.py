@@ -1,4 +1,7 @@
-"""Sentence and paragraph structure."""
+"""Sentence and paragraph structure.
+
+The thresholds, weights and texts of hits are fixed values.
+"""
 
 from __future__ import annotations
 

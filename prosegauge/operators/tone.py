@@ -1,4 +1,7 @@
-"""Tone: hedging, enthusiasm, formality, word length, intensifiers."""
+"""Tone: hedging, enthusiasm, formality, word length, intensifiers.
+
+The thresholds, weights and texts of hits are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +17,7 @@ from prosegauge.functions import segments as seg
 HEDGE = r"(?U)\b(?:" + "|".join(lex.HEDGES) + r")\b"
 ENTHUSIASM = r"(?U)\b(?:" + "|".join(lex.ENTHUSIASM) + r")\b"
 CONVERSATIONAL = r"(?U)\b(?:" + "|".join(re.escape(m) for m in lex.CONVERSATIONAL) + ")"
+# Fixed value: what counts as a contraction.
 CONTRACTION = r"(?Ui)\b\w+'(?:t|re|ve|ll|d|m)\b|\b(?:it|he|she|that|what|there|here|let|who|how|where|when)'s\b"
 
 

@@ -1,4 +1,7 @@
-"""Overused words, exact, inflected, or of several words."""
+"""Overused words, exact, inflected, or of several words.
+
+The thresholds, weights and texts of hits are fixed values.
+"""
 
 from __future__ import annotations
 
