@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from prosegauge.llm.common import ENCODER_ROWS, PieceCodec, TwoGenerationCache, byte_alphabet, small_arrow_batches, vocabulary_path
+from prosegauge.llm.common import ENCODER_ROWS, PieceCodec, TwoGenerationCache, byte_alphabet, id_and_text, small_arrow_batches, vocabulary_path
 
 
 class Vocabulary:
@@ -249,7 +249,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids`` of each row of ``docs(doc_id, text)``; ``path`` names the vocabulary file on the executors."""
     small_arrow_batches(docs.sparkSession, ENCODER_ROWS)
-    return docs.select("doc_id", "text").mapInArrow(partial(_encoded, path=path), "doc_id long, ids array<int>")
+    return id_and_text(docs).mapInArrow(partial(_encoded, path=path), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -260,4 +260,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Number of ids and SHA-256 of ids and decoded text, for each row of ``docs``."""
     small_arrow_batches(docs.sparkSession, ENCODER_ROWS)
-    return docs.select("doc_id", "text").mapInArrow(partial(_digests, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(docs).mapInArrow(partial(_digests, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

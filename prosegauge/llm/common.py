@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prosegauge.functions.ship import ship
+
 #: Used only when the session names no folder (tests on one machine).
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
 #: Rows handed to Python at once: whole texts, so far fewer than Spark's 10,000.
@@ -64,6 +66,7 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
 def durable_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
+    ship(spark)
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
@@ -71,6 +74,7 @@ def durable_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
 
 def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Whole documents go to Python in small record batches, so that a worker's memory stays bounded; a size that the session chose stays."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in ("10000", str(ARROW_ROWS), str(ENCODER_ROWS)):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -79,6 +83,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """The two columns that the operators read, in their own types."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import ENCODER_ROWS, durable, library_codec, small_arrow_batches
+from prosegauge.llm.common import ENCODER_ROWS, durable, id_and_text, library_codec, small_arrow_batches
 
 CAPACITY = 2048
 PIECE = 400
@@ -121,7 +121,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def _pack_group(group: pd.DataFrame, capacity: int, stride: int) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "start", "salt", "ids_crc32", "doc_tokens"], ignore_index=True)
+    group = group.sort_values(["named", "doc_id", "start", "salt", "ids_crc32", "doc_tokens"], ignore_index=True)
     full = group["length"].to_numpy() == capacity
     window = np.empty(len(group), np.int64)
     window[~full] = pack(group["length"][~full].tolist(), capacity)
@@ -133,16 +133,19 @@ def _pack_group(group: pd.DataFrame, capacity: int, stride: int) -> pd.DataFrame
     first = np.searchsorted(window, window)
     group["sequence_id"] = group["bucket"].to_numpy() * stride + window
     group["offset"] = before - before[first]
-    return group[[c.split()[0] for c in PACKED.split(", ")]]
+    return group[[*(c.split()[0] for c in PACKED.split(", ")), "named"]]
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
     """The pieces of ``docs(doc_id, text)`` with the sequence and offset of each."""
     small_arrow_batches(docs.sparkSession, ENCODER_ROWS)
-    cut_up = docs.select("doc_id", "text").mapInArrow(partial(_pieces, path=path, end=end, capacity=capacity, piece=piece), PIECES)
+    cut_up = id_and_text(docs).mapInArrow(partial(_pieces, path=path, end=end, capacity=capacity, piece=piece), PIECES)
     # a row's number within its task tells apart the pieces of repeated rows
     pieces = durable(cut_up.withColumn("salt", F.xxhash64(F.spark_partition_id(), "salt")), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(groups)))
-    return dealt.groupBy("bucket").applyInPandas(partial(_pack_group, capacity=capacity, stride=1 << 32), PACKED)
+    # pandas would turn ids beside a null into floats
+    whole = dealt.withColumn("named", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    packed = whole.groupBy("bucket").applyInPandas(partial(_pack_group, capacity=capacity, stride=1 << 32), PACKED + ", named boolean")
+    return packed.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")

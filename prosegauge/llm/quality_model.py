@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import small_arrow_batches, texts
+from prosegauge.llm.common import id_and_text, small_arrow_batches, texts
 from prosegauge.llm.toxicity import training_rows
 
 #: Labelled rows to learn from, at most, of each class.
@@ -203,7 +203,7 @@ def _kept(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) ->
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of each row of ``docs``."""
     small_arrow_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(partial(_scores, model=model), "doc_id long, score double")
+    return id_and_text(docs).mapInArrow(partial(_scores, model=model), "doc_id long, score double")
 
 
 def remove_poor(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

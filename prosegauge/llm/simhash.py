@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import durable, shuffle_partitions, small_arrow_batches, texts
+from prosegauge.llm.common import durable, id_and_text, shuffle_partitions, small_arrow_batches, texts
 from prosegauge.llm.components import connected_components, forest
 
 #: Variants for one shard of the shuffle, about 25 MB.
@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    own = durable(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    own = durable(id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
     distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     n = distinct.count()
     shards = max(shuffle_partitions(spark), -(-n * 560 // SHARD_VARIANTS))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import ENCODER_ROWS, library_codec, new_path, remove, shuffle_partitions, small_arrow_batches
+from prosegauge.llm.common import ENCODER_ROWS, id_and_text, library_codec, new_path, remove, shuffle_partitions, small_arrow_batches
 
 LONGEST = 16
 BLOCK_IDS = 1 << 17
@@ -208,7 +208,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: i
     spark = docs.sparkSession
     small_arrow_batches(spark, ENCODER_ROWS)
     kind = "<u4" if wide else "<u2"
-    keyed = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    keyed = id_and_text(docs).withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     ranged = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
     wait = new_path(spark, "ids")
     schema = "shard int, first long, doc_id long, ids binary"

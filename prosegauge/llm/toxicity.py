@@ -35,17 +35,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import small_arrow_batches, texts
+from prosegauge.llm.common import id_and_text, small_arrow_batches, texts
 
 #: Labelled rows to learn from, at most, of each class.
 TOXIC_ROWS, OTHER_ROWS = 4_000, 12_000
 #: Lexicon entries kept, those of the largest likelihood ratio.
 ENTRIES = 20_000
-LEAST_RATIO, LEAST_LOG_ODDS = 25.0, 2.5
+LEAST_RATIO, LEAST_LOG_ODDS = 25.0, 4.0
+#: Occurrences outside toxic texts, at most, for each one counted within: whole words, and word beginnings.
+MOST_OTHER, MOST_OTHER_BEGINNING = 0.02, 0.0
 THRESHOLD = 0.3
 
 # English insults with their weights before labels are seen.
-BUILT_IN = {w: 3.0 for w in ("idiot idiots idiotic moron morons moronic imbecile imbeciles scum scumbag scumbags loser losers clown clowns stupid pathetic disgusting worthless trash dumbass dumbasses retard retards bastard bastards bitch bitches asshole assholes cunt cunts slut sluts whore whores faggot faggots vermin subhuman lowlife jackass dipshit shithead").split()}
+BUILT_IN = {w: 3.0 for w in ("idiot idiots idiotic moron morons moronic imbecile imbeciles scum scumbag scumbags loser losers clown clowns stupid pathetic disgusting worthless trash dumbass dumbasses retard retards bastard bastards bitch bitches asshole assholes cunt cunts slut sluts  faggot faggots vermin subhuman lowlife jackass dipshit shithead").split()}
 # Phrases in which such a word insults nobody.
 EXCEPTIONS = ["trash can", "trash cans", "trash bin", "trash bag", "trash bags", "take out the trash", "clown fish", "clown car", "class clown", "circus clown", "stupid simple", "keep it simple stupid", "bitch session", "sore loser", "idiot proof", "idiot light", "vermin control"]
 # Cyrillic and Greek letters that look like Latin ones.
@@ -165,7 +167,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, mark: str, train: Column,
     parts = [marked.where(F.col(mark) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for value, n in most.items()]
     sample = parts[0].unionByName(parts[1])
     # at most sum(most) rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return id_and_text(docs).join(F.broadcast(sample), "doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Model:
@@ -187,7 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, toxic
     t, o, n = F.col("t"), F.col("o"), F.col("t") + F.col("o")
     ratio = 2 * (t * F.log(t / (n * share)) + F.when(o > 0, o * F.log(o / (n * (1 - share)))).otherwise(0))
     odds = F.log((t + 0.5) / all_t) - F.log((o + 0.5) / all_o)
-    chosen = counts.select("entry", ratio.alias("ratio"), odds.alias("odds")).where(f"ratio >= {LEAST_RATIO} and odds >= {LEAST_LOG_ODDS}").orderBy(F.desc("ratio"), "entry").limit(ENTRIES).collect()
+    rare = o <= t * F.when(F.col("entry").endswith(" "), MOST_OTHER).otherwise(MOST_OTHER_BEGINNING)
+    chosen = counts.where(rare).select("entry", ratio.alias("ratio"), odds.alias("odds")).where(f"ratio >= {LEAST_RATIO} and odds >= {LEAST_LOG_ODDS}").orderBy(F.desc("ratio"), "entry").limit(ENTRIES).collect()
     known = {r["entry"]: r["odds"] for r in chosen}
     begin = {e: v for e, v in known.items() if not e.endswith(" ")}
     model.beginnings = {e: v for e, v in begin.items() if not any(e[:k] in begin for k in range(1, len(e)))}
@@ -213,7 +216,7 @@ def _filtered(batches: Iterator[pa.RecordBatch], model, least: float, most: floa
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of each row of ``docs``."""
     small_arrow_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(partial(_scores, model=model), "doc_id long, score double")
+    return id_and_text(docs).mapInArrow(partial(_scores, model=model), "doc_id long, score double")
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
