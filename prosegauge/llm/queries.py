@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.llm.common import crc_bucket, read_table
+from prosegauge.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,4 +101,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
