@@ -150,10 +150,14 @@ class PieceCodec:
         found = list(map(cache.get, pieces))
         if None in found:
             old = cache.old
-            new = [p for p, v in zip(pieces, found, strict=True) if v is None and p not in old]
+            places = [i for i, v in enumerate(found) if v is None]
+            known = {p: v for p in map(pieces.__getitem__, places) if (v := old.get(p)) is not None}
+            new = [p for p in map(pieces.__getitem__, places) if p not in known]
             for i in range(0, len(new), 100_000):
-                cache.update(zip(new[i : i + 100_000], self.learn(new[i : i + 100_000]), strict=True))
-            found = list(map(cache.__getitem__, pieces))
+                known.update(zip(new[i : i + 100_000], self.learn(new[i : i + 100_000]), strict=True))
+            for i in places:
+                found[i] = known[pieces[i]]
+            cache.update(known)
         cache.trim()
         return found
 
@@ -166,7 +170,8 @@ class PieceCodec:
         index = pieces.indices.to_numpy(zero_copy_only=False)
         counts = each[index]
         ends = np.cumsum(counts)
-        ids = pool[np.repeat(begin[index] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        shift = (begin[index] - (ends - counts)).astype(np.int32)  # a slice's ids are far fewer than 2 ** 31
+        ids = pool[np.repeat(shift, counts) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         return ids, np.append(0, ends)[lists.offsets.to_numpy()]
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -276,11 +281,11 @@ class LibraryCodec(PieceCodec):
 _codecs: dict[str, LibraryCodec] = {}
 
 
-def library_codec(path: str | None) -> LibraryCodec:
-    """One codec for each vocabulary and Python worker."""
+def library_codec(path: str | None, memo: int = 300_000) -> LibraryCodec:
+    """One codec for each vocabulary and Python worker; ``memo`` entries, about 200 bytes each, in either generation."""
     path = path or vocabulary_path()
     if path not in _codecs:
-        _codecs[path] = LibraryCodec(path)
+        _codecs[path] = LibraryCodec(path, memo)
     return _codecs[path]
 
 

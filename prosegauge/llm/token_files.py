@@ -149,10 +149,10 @@ def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray], longest:
     return [None if z else d for d, z in zip(doc_ids, nulls.tolist(), strict=True)], counts, out.ravel()[:n]
 
 
-def _ids(batches: Iterator[pa.RecordBatch], path: str | None, end: int, kind: str) -> Iterator[pa.RecordBatch]:
+def _ids(batches: Iterator[pa.RecordBatch], path: str | None, end: int, kind: str, memo: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    codec = library_codec(path)
+    codec = library_codec(path, memo)
     tail = np.array([end], kind)
     shard, first = TaskContext.get().partitionId(), 0
     for b in batches:
@@ -199,11 +199,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], kind: str, lengths: bytes, block_
         yield flush()
 
 
-def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: int = 2, block_ids: int = BLOCK_IDS, wide: bool = False) -> None:
+def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: int = 2, block_ids: int = BLOCK_IDS, wide: bool = False, memo: int = 600_000) -> None:
     """Write the ids of ``docs(doc_id, text)`` to ``out``: ``codebook`` and ``blocks``, in ranges of ascending doc_ids.
 
     The texts are dealt by ranges and encoded once; their ids wait in a table
     (16 bits each, 32 if ``wide``) until the counts of all of them are known.
+    ``memo``: pieces of text whose ids a Python worker keeps.
     """
     spark = docs.sparkSession
     small_arrow_batches(spark, ENCODER_ROWS)
@@ -212,7 +213,7 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: i
     ranged = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
     wait = new_path(spark, "ids")
     schema = "shard int, first long, doc_id long, ids binary"
-    ranged.select("doc_id", "text").mapInArrow(partial(_ids, path=path, end=end, kind=kind), schema).write.option("compression", "zstd").parquet(wait)
+    ranged.select("doc_id", "text").mapInArrow(partial(_ids, path=path, end=end, kind=kind, memo=memo), schema).write.option("compression", "zstd").parquet(wait)
     ids = spark.read.schema(schema).parquet(wait)
     rows = ids.select("ids").mapInArrow(partial(_counts, kind=kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
     counts = np.zeros(max([r["id"] for r in rows], default=0) + 1, np.int64)
