@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicons as lex
+from prosegauge.functions.ship import ship
 
 #: White space as Python's str.split() knows it, for Java's regex.
 WHITE = r"[\s\x{1c}-\x{1f}]"
@@ -166,6 +167,7 @@ def segment(df, text: str = "text", native: bool = False):
     Columns that lambdas read are made in selects of their own: what a lambda
     refers to more than once is not evaluated again for each element.
     """
+    ship(df.sparkSession)
     t = (normalize_native if native else normalize)(F.col(text))
     one = df.withColumn("t", t)
     two = one.withColumns({"low": F.lower("t"), "lines": lines(F.col("t")), "words": words(F.col("t")), "sents": sentences(F.col("t")), "paras": paragraphs(F.col("t"))})

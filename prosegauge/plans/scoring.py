@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicons as lex
 from prosegauge.functions.segments import segment
+from prosegauge.functions.ship import ship
 from prosegauge.operators import burstiness, compression, connectives, formatting, phrases, punctuation, rhythm, structure, tone, vocabulary
 
 MODULES = {"vocabulary": vocabulary, "phrases": phrases, "structure": structure, "formatting": formatting, "tone": tone, "compression": compression, "sentence_rhythm": rhythm, "punctuation": punctuation, "connectives": connectives, "burstiness": burstiness}
@@ -18,7 +19,8 @@ MODULES = {"vocabulary": vocabulary, "phrases": phrases, "structure": structure,
 
 def prepared(docs: DataFrame, seed: bytes = b"", text: str = "text", native: bool = False) -> DataFrame:
     """``docs`` with segments and signals."""
-    df = tone.signals(segment(docs, text, native)).withColumns(structure.first_signals()).withColumns(structure.signals() | rhythm.signals() | burstiness.signals())
+    ship(docs.sparkSession)
+    df = tone.signals(segment(docs, text, native)).withColumns(structure.first_signals()).withColumns(vocabulary.signals() | structure.signals() | rhythm.signals() | burstiness.signals())
     for step in [*punctuation.signals(), *connectives.signals()]:
         df = df.withColumns(step)
     return df.withColumn("similarity", compression.similarity(F.col("t"), seed) if seed else F.lit(None).cast("double"))

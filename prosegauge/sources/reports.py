@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicons as lex
 from prosegauge.functions import segments as seg
+from prosegauge.functions.ship import ship
 
 
 def _text(*parts) -> Column:
@@ -179,6 +180,7 @@ def html_page(body: str, title: str = "Style Report") -> str:
 
 def to_html(df: DataFrame, column: str = "report", title: str = "Style Report") -> DataFrame:
     """``df`` with each Markdown report turned into a page in ``page``: a line parser with state, so Python over batches."""
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c != column]
 
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
