@@ -11,7 +11,8 @@ ids and rises whenever a window would exceed the capacity. Whole windows need no
 balancing and take the group's next sequence numbers.
 
 A cut costs a document some context and saves padding: with the default pieces
-of up to 400 ids, windows come out 99 % full or better.
+of up to 512 ids and a small last piece for each remainder, which differencing
+merges last and so evens out the windows, they come out more than 99 % full.
 
 Cases: null and empty texts have the end id alone, one piece of one id; repeated
 rows and equal doc_ids are packed once for each row; very long texts are cut
@@ -35,23 +36,30 @@ from pyspark.sql import functions as F
 from prosegauge.llm.common import ENCODER_ROWS, durable, id_and_text, library_codec, small_arrow_batches
 
 CAPACITY = 2048
-PIECE = 400
+PIECE = 512
+#: The last 8 ids or more, fewer than this above 8, are a small piece that evens out windows.
+TAIL = 32
 GROUP = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces."""
+def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE, tail: int = TAIL) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces: whole windows, the remainder in near-equal pieces, a small last one."""
     whole = n // capacity
     out = [(i * capacity, capacity) for i in range(whole)]
-    rest = n - whole * capacity
+    at, rest = whole * capacity, n % capacity
+    last = 8 + n % tail
+    if rest <= 4 * last:
+        last = 0
+    rest -= last
     parts = -(-rest // piece)
-    at = whole * capacity
     for i in range(parts):
         length = rest // parts + (i < rest % parts)
         out.append((at, length))
         at += length
+    if last:
+        out.append((at, last))
     return out
 
 
