@@ -63,8 +63,8 @@ def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE, tail: int = TAIL)
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, end: int, capacity: int, piece: int) -> Iterator[pa.RecordBatch]:
-    codec = library_codec(path)
+def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, end: int, capacity: int, piece: int, memo: int) -> Iterator[pa.RecordBatch]:
+    codec = library_codec(path, memo)
     tail = np.array([end], "<u4")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
     row = 0
@@ -144,10 +144,10 @@ def _pack_group(group: pd.DataFrame, capacity: int, stride: int) -> pd.DataFrame
     return group[[*(c.split()[0] for c in PACKED.split(", ")), "named"]]
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP) -> DataFrame:
-    """The pieces of ``docs(doc_id, text)`` with the sequence and offset of each."""
+def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, memo: int = 300_000) -> DataFrame:
+    """The pieces of ``docs(doc_id, text)`` with the sequence and offset of each; ``memo``: pieces of text whose ids a Python worker keeps."""
     small_arrow_batches(docs.sparkSession, ENCODER_ROWS)
-    cut_up = id_and_text(docs).mapInArrow(partial(_pieces, path=path, end=end, capacity=capacity, piece=piece), PIECES)
+    cut_up = id_and_text(docs).mapInArrow(partial(_pieces, path=path, end=end, capacity=capacity, piece=piece, memo=memo), PIECES)
     # a row's number within its task tells apart the pieces of repeated rows
     pieces = durable(cut_up.withColumn("salt", F.xxhash64(F.spark_partition_id(), "salt")), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
