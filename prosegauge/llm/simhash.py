@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm import set_similarity
 from prosegauge.llm.common import durable, id_and_text, shuffle_partitions, small_arrow_batches, texts
 from prosegauge.llm.components import connected_components, forest
 
@@ -48,6 +49,7 @@ MASKS = np.concatenate([np.zeros(1, np.uint64), _BITS, _PAIRS])
 _ONE = np.arange(1, 65, dtype=np.uint16)
 _ODD = np.arange(len(MASKS), dtype=np.uint16)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_ROW = "row_number_"
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -137,12 +139,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one that names it.
 
-    Rows that share a doc_id count as one document, of which the smallest row
-    stays; rows without a doc_id can't name a group and stay as they are.
+    Groups are those of the fingerprints. Where a similarity is given, they are
+    instead those of all pairs whose sets of word shingles have at least that
+    Jaccard similarity, and each row counts for itself, whatever its doc_id; the
+    row of the smallest doc_id stays.
+
+    Without one, rows that share a doc_id count as one document, of which the
+    smallest row stays. Rows without a doc_id can't name a group and stay as they are.
     """
+    if similarity is not None:
+        rows = durable(docs.select(F.monotonically_increasing_id().alias(_ROW), *docs.columns), "rows")
+        named = rows.where("doc_id is not null")
+        groups = set_similarity.near_duplicates(named.select(F.col(_ROW).alias("doc_id"), "text"), shingle, similarity)
+        ids = named.select(_ROW, F.col("doc_id").cast("long").alias("name"))
+        best = groups.withColumnRenamed("doc_id", _ROW).join(ids, _ROW).groupBy("component_id").agg(F.min(F.struct("name", _ROW)).alias("r"))
+        kept = durable(best.select(F.col(f"r.{_ROW}").alias(_ROW)), "kept")
+        return named.join(kept, _ROW, "left_semi").unionByName(rows.where("doc_id is null")).select(*docs.columns)
     kept = durable(near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct(), "kept")
     rest = [c for c in docs.columns if c != "doc_id"]
     one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in rest])
