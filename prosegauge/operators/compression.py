@@ -38,14 +38,14 @@ def similarity(text: Column, seed: bytes) -> Column:
 
 
 def seed_corpus(items: DataFrame, most_bytes: int = 1_000_000) -> bytes:
-    """A seed from the texts of ``items(item_id, text)`` in order, of a bounded size: it goes to every task."""
-    parts, size = [], 0
+    """A seed from all texts of ``items(item_id, text)`` in order; it goes to every task, so more than ``most_bytes`` is an error."""
+    parts, size = [], -1
     for r in items.orderBy("item_id").select("text").toLocalIterator():
-        raw = (r["text"] or "").encode()
-        if size + len(raw) > most_bytes:
-            break
-        parts.append(raw)
+        raw = (r["text"] or "").encode("utf-8", "surrogatepass")
         size += len(raw) + 1
+        if size > most_bytes:
+            raise ValueError(f"the seed's texts take more than {most_bytes} bytes")
+        parts.append(raw)
     return b"\n".join(parts)
 
 
