@@ -175,16 +175,16 @@ def find(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets, and n_chars renewed if there is one.
 
-    Spans may overlap across kinds; from the left, each one begins after the last that was replaced.
+    Spans may overlap across kinds; those that do are replaced together, by the kind of the first, of equal starts the longest.
     """
     rows = _rows(docs, docs.columns, "parts")
-    spans = _spans(rows).select("rid", F.array_sort(F.transform("every", lambda x: F.struct(x["s"], x["e"], x["kind"]))).alias("every"))
+    spans = _spans(rows).select("rid", F.array_sort(F.transform("every", lambda x: F.struct(x["s"], (-x["e"]).alias("to"), x["e"], x["kind"]))).alias("every"))
     out = rows.drop("parts").join(spans, "rid", "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         piece = F.concat(F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(acc)
+        return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
 
     masked = F.aggregate("every", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col("text"), (acc["at"] + 1).cast("int"))))
     out = out.withColumn("text", F.when(F.col("every").isNotNull(), masked).otherwise(F.col("text")))
