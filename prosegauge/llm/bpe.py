@@ -35,7 +35,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from prosegauge.llm.common import ENCODER_ROWS, PieceCodec, TwoGenerationCache, byte_alphabet, id_and_text, small_arrow_batches, vocabulary_path
+from prosegauge.llm.common import ENCODER_ROWS, PieceCodec, TwoGenerationCache, byte_alphabet, id_and_text, mapped, vocabulary_path
 
 
 class Vocabulary:
@@ -248,16 +248,14 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids`` of each row of ``docs(doc_id, text)``; ``path`` names the vocabulary file on the executors."""
-    small_arrow_batches(docs.sparkSession, ENCODER_ROWS)
-    return id_and_text(docs).mapInArrow(partial(_encoded, path=path), "doc_id long, ids array<int>")
+    return mapped(id_and_text(docs), partial(_encoded, path=path), "doc_id long, ids array<int>", ENCODER_ROWS)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, text`` of each row of ``encoded(doc_id, ids)``."""
-    return encoded.select("doc_id", "ids").mapInArrow(partial(_decoded, path=path), "doc_id long, text string")
+    return mapped(encoded.select("doc_id", "ids"), partial(_decoded, path=path), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Number of ids and SHA-256 of ids and decoded text, for each row of ``docs``."""
-    small_arrow_batches(docs.sparkSession, ENCODER_ROWS)
-    return id_and_text(docs).mapInArrow(partial(_digests, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(id_and_text(docs), partial(_digests, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", ENCODER_ROWS)

@@ -8,6 +8,7 @@ import unicodedata
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions.ship import ship
 
-#: Used only when the session names no folder (tests on one machine).
+#: Used only when the session names no folder and runs on one machine, as in tests.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
-#: Rows handed to Python at once: whole texts, so far fewer than Spark's 10,000.
-ARROW_ROWS = 1000
-#: The same where texts are encoded: more rows share more words.
+#: Rows and bytes that an operator turns into Python objects at once, whatever the size of a record batch.
+SLICE_ROWS, SLICE_BYTES = 1000, 16_000_000
+#: The rows where texts are encoded: more rows share more words.
 ENCODER_ROWS = 2500
 VOCABULARY = "word_bpe_49k.json"
 
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(DEFAULT_CHECKPOINT_DIR)
     return sc.getCheckpointDir().rstrip("/")
 
@@ -72,11 +75,34 @@ def durable_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def small_arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Whole documents go to Python in small record batches, so that a worker's memory stays bounded; a size that the session chose stays."""
-    ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in ("10000", str(ARROW_ROWS), str(ENCODER_ROWS)):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch of at most so many rows and, but for longer single rows, bytes of strings and binaries."""
+    if batch.num_rows <= 1:
+        yield batch
+        return
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        to = min(max(to, at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _in_slices(batches: Iterator[pa.RecordBatch], use: Callable, rows: int) -> Iterator[pa.RecordBatch]:
+    return use(part for b in batches for part in slices(b, rows))
+
+
+def mapped(df: DataFrame, use: Callable, schema, rows: int = SLICE_ROWS) -> DataFrame:
+    """``df.mapInArrow(use, schema)`` whose workers have the package and see record batches in parts of bounded rows and bytes.
+
+    Spark itself bounds a batch by rows and by spark.sql.execution.arrow.maxBytesPerBatch; no setting of the session is changed.
+    """
+    ship(df.sparkSession)
+    return df.mapInArrow(partial(_in_slices, use=use, rows=rows), schema)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -278,15 +304,16 @@ class LibraryCodec(PieceCodec):
         return out
 
 
-_codecs: dict[str, LibraryCodec] = {}
+_codecs: dict[tuple[str, int], LibraryCodec] = {}
 
 
 def library_codec(path: str | None, memo: int = 300_000) -> LibraryCodec:
-    """One codec for each vocabulary and Python worker; ``memo`` entries, about 200 bytes each, in either generation."""
-    path = path or vocabulary_path()
-    if path not in _codecs:
-        _codecs[path] = LibraryCodec(path, memo)
-    return _codecs[path]
+    """One codec for each Python worker, with ``memo`` entries, about 200 bytes each, in either generation; another vocabulary or size replaces it."""
+    key = path or vocabulary_path(), memo
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = LibraryCodec(*key)
+    return _codecs[key]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import ENCODER_ROWS, durable, id_and_text, library_codec, small_arrow_batches
+from prosegauge.llm.common import ENCODER_ROWS, durable, id_and_text, library_codec, mapped
 
 CAPACITY = 2048
 PIECE = 512
@@ -146,8 +146,7 @@ def _pack_group(group: pd.DataFrame, capacity: int, stride: int) -> pd.DataFrame
 
 def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, memo: int = 300_000) -> DataFrame:
     """The pieces of ``docs(doc_id, text)`` with the sequence and offset of each; ``memo``: pieces of text whose ids a Python worker keeps."""
-    small_arrow_batches(docs.sparkSession, ENCODER_ROWS)
-    cut_up = id_and_text(docs).mapInArrow(partial(_pieces, path=path, end=end, capacity=capacity, piece=piece, memo=memo), PIECES)
+    cut_up = mapped(id_and_text(docs), partial(_pieces, path=path, end=end, capacity=capacity, piece=piece, memo=memo), PIECES, ENCODER_ROWS)
     # a row's number within its task tells apart the pieces of repeated rows
     pieces = durable(cut_up.withColumn("salt", F.xxhash64(F.spark_partition_id(), "salt")), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
@@ -155,5 +154,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capac
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(groups)))
     # pandas would turn ids beside a null into floats
     whole = dealt.withColumn("named", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    packed = whole.groupBy("bucket").applyInPandas(partial(_pack_group, capacity=capacity, stride=1 << 32), PACKED + ", named boolean")
+
+    def pack_group(one: pd.DataFrame) -> pd.DataFrame:
+        return _pack_group(one, capacity, 1 << 32)
+
+    packed = whole.groupBy("bucket").applyInPandas(pack_group, PACKED + ", named boolean")
     return packed.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import id_and_text, small_arrow_batches, texts
+from prosegauge.llm.common import id_and_text, mapped, texts
 from prosegauge.llm.toxicity import training_rows
 
 #: Labelled rows to learn from, at most, of each class.
@@ -178,9 +178,8 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows: int = ROWS) -> Model:
     """A model from the labelled documents for which ``train`` (over ``labels``) holds."""
-    small_arrow_batches(docs.sparkSession)
     sample = training_rows(docs, labels, "quality", F.lit(True) if train is None else train, {1: rows, 0: rows})
-    found = sample.select("doc_id", "quality", "text").mapInArrow(_training, "doc_id long, quality int, x array<double>")
+    found = mapped(sample.select("doc_id", "quality", "text"), _training, "doc_id long, quality int, x array<double>")
     found = found.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("x").alias("x")).orderBy("doc_id").toPandas()  # at most 2 * rows
     y = found["quality"].to_numpy() if len(found) else np.zeros(0)
     if not 0 < y.sum() < len(y):
@@ -202,11 +201,9 @@ def _kept(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) ->
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of each row of ``docs``."""
-    small_arrow_batches(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(partial(_scores, model=model), "doc_id long, score double")
+    return mapped(id_and_text(docs), partial(_scores, model=model), "doc_id long, score double")
 
 
 def remove_poor(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, all columns."""
-    small_arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(partial(_kept, model=model, threshold=threshold), docs.schema)
+    return mapped(docs, partial(_kept, model=model, threshold=threshold), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import durable, small_arrow_batches, texts
+from prosegauge.llm.common import durable, mapped, texts
 
 LEAST_WORDS = 50
 #: Shortest texts, in code points and words, whose histograms are compared.
@@ -106,8 +106,7 @@ def _sums(column: str, size: int) -> list[Column]:
 
 def judge(docs: DataFrame, most_characters: float = MOST_CHARACTERS, most_words: float = MOST_WORDS) -> DataFrame:
     """Counts, distances and verdict of each row of ``docs(doc_id, text, lang)``."""
-    small_arrow_batches(docs.sparkSession)
-    measured = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").mapInArrow(_measured, COLUMNS), "measured")
+    measured = durable(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), _measured, COLUMNS), "measured")
     size = max(map(len, COMMON_WORDS.values())) + 1
     sums = measured.groupBy("lang").agg(*_sums("kinds", _BINS), *_sums("common", size))
     reference = sums.select(F.col("lang").alias("of"), F.array(*[f"kinds{i}" for i in range(_BINS)]).alias("all_kinds"), F.filter(F.array(*[f"common{i}" for i in range(size)]), lambda x: x.isNotNull()).alias("all_common"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import ENCODER_ROWS, id_and_text, library_codec, new_path, remove, shuffle_partitions, small_arrow_batches
+from prosegauge.llm.common import ENCODER_ROWS, id_and_text, library_codec, new_path, remove, shuffle_partitions, mapped
 
 LONGEST = 16
 BLOCK_IDS = 1 << 17
@@ -207,21 +207,20 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: i
     ``memo``: pieces of text whose ids a Python worker keeps.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark, ENCODER_ROWS)
     kind = "<u4" if wide else "<u2"
     keyed = id_and_text(docs).withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     ranged = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
     wait = new_path(spark, "ids")
     schema = "shard int, first long, doc_id long, ids binary"
-    ranged.select("doc_id", "text").mapInArrow(partial(_ids, path=path, end=end, kind=kind, memo=memo), schema).write.option("compression", "zstd").parquet(wait)
+    mapped(ranged.select("doc_id", "text"), partial(_ids, path=path, end=end, kind=kind, memo=memo), schema, ENCODER_ROWS).write.option("compression", "zstd").parquet(wait)
     ids = spark.read.schema(schema).parquet(wait)
-    rows = ids.select("ids").mapInArrow(partial(_counts, kind=kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
+    rows = mapped(ids.select("ids"), partial(_counts, kind=kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
     counts = np.zeros(max([r["id"] for r in rows], default=0) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts).tobytes()
     spark.createDataFrame([(LONGEST, lengths)], "longest int, lengths binary").coalesce(1).write.parquet(f"{out}/codebook")
-    blocks = ids.mapInArrow(partial(_blocks, kind=kind, lengths=lengths, block_ids=block_ids), _BLOCKS)
+    blocks = mapped(ids, partial(_blocks, kind=kind, lengths=lengths, block_ids=block_ids), _BLOCKS)
     blocks.sortWithinPartitions("shard", "first").write.option("compression", "none").parquet(f"{out}/blocks")
     remove(spark, wait)
 
@@ -251,7 +250,7 @@ def read_token_files(spark: SparkSession, out: str, whole: bool = True) -> DataF
     for shard, n in shards:
         base[shard], before = before, before + n
     kind = "ids array<int>" if whole else "ids_crc32 long"
-    return blocks.select("shard", "first", "payload").mapInArrow(partial(_read, lengths=bytes(book["lengths"]), longest=book["longest"], base=base, whole=whole), f"doc_id long, start long, n_tokens long, {kind}")
+    return mapped(blocks.select("shard", "first", "payload"), partial(_read, lengths=bytes(book["lengths"]), longest=book["longest"], base=base, whole=whole), f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
