@@ -41,7 +41,7 @@ def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosegauge.llm.html_main import main_text
 
     found = main_text(read_table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_differenced", "n_marked")
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from prosegauge.llm.pii import KINDS, find
 
     found = find(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans", "n_discovered")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
