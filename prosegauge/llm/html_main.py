@@ -9,19 +9,23 @@ head and markup never become lines.
 Pages are sorted by host and URL path, and each is paired with the neighbour in
 its host that shares the longer beginning of the path. The lines of the two are
 aligned by a longest common subsequence; shared lines are the site's, not the
-page's, and go. Two limits keep the result right: lines in marked main text stay,
-as copies of an article are common under neighbouring URLs, and where all lines
-are shared the pages are copies and the lines stay. Pages with marked main text
-need no alignment for that result, so only their line hashes take part, as
-neighbours of the others.
-
-A range shuffle sorts line hashes, not texts; neighbours are looked up over the
-global order in blocks, so a host of any size spreads over many tasks.
+page's, and go. Marks add to that what differencing cannot know: lines in
+furniture go though no neighbour has them, and lines in marked main text stay
+though a neighbour has them, as articles quote the same passages. Of pages with
+marked main text the rest goes too. A neighbour with which a page shares nearly
+all of its text is a copy and proves nothing: the other neighbour is taken, and
+where that is a copy as well unmarked lines stay.
+
+Every page is aligned. A range shuffle sorts line hashes, not texts; neighbours
+are looked up over the global order in blocks, so a host of any size spreads over
+many tasks. Pages are parsed once; work on a page is linear in its length but for
+the alignment.
 
 Cases: null and empty html give an empty text; a null or odd URL has an empty
 host and path; pages equal in URL and lines count as one page when neighbours
-are sought; a host's only page keeps all its lines; repeated rows give a row
-each; an empty table gives no rows; other columns are ignored.
+are sought; a host's only page keeps all its lines but marked furniture; repeated
+rows give a row each; tags that never end and quotes that never close are text; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import durable, shuffle_partitions, small_arrow_batches
+from prosegauge.llm.common import durable, mapped, shuffle_partitions
 
 FURNITURE, PLAIN, MAIN = 0, 1, 2
 #: Pages whose neighbours are looked up together.
 BLOCK = 64
+#: Share of a page's text in aligned lines from which its neighbour counts as a copy.
+COPY = 0.8
 
 # Elements, roles and words of class or id.
 BLOCKS = set("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -54,7 +60,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 # A p may stay open; one of these then ends it.
 _P_ENDS = BLOCKS - {"li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "option", "optgroup", "legend", "figcaption", "summary"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
+# searched up to the last ">" of a page, within which every tag that begins also ends: a quote that never closes is a character like any other
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -85,6 +92,7 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
     kinds: list[int] = []
     held: list[str] = []
     stack: list[tuple[str, int]] = []
+    open_: dict[str, int] = {}  # how many elements of a name the stack holds
     kind = PLAIN
 
     def end_line() -> None:
@@ -95,9 +103,28 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
                 lines.append(text)
                 kinds.append(kind)
 
-    at, n = 0, len(page)
+    def pop() -> int:
+        """Leave the innermost element: what the text is then."""
+        open_[stack.pop()[0]] -= 1
+        return stack[-1][1] if stack else PLAIN
+
+    def push(name: str, new: int) -> None:
+        stack.append((name, new))
+        open_[name] = open_.get(name, 0) + 1
+
+    def leave(name: str, block: bool) -> None:
+        """Close the innermost element of a name that is open, and all within it."""
+        nonlocal kind
+        while stack[-1][0] != name:
+            pop()
+        below = pop()
+        if block or below != kind:
+            end_line()
+        kind = below
+
+    at, n, last = 0, len(page), page.rfind(">") + 1
     while at < n:
-        m = _TAG.search(page, at)
+        m = _TAG.search(page, at, last) if at < last else None
         if m is None:
             held.append(page[at:])
             break
@@ -105,52 +132,35 @@ def page_lines(page: str) -> tuple[list[str], list[int]]:
             held.append(page[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         name = m[2].lower()
+        block = name in BLOCKS or name in FURNITURE_TAGS
         if name == "br":
             held.append(" ")
         elif not m[1] and name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at, last)
             at = end.end() if end else n
-        elif name in BLOCKS or name in FURNITURE_TAGS or (m[3] and not m[1] and name not in VOID):
-            block = name in BLOCKS or name in FURNITURE_TAGS
-            if m[1]:
-                if not any(s[0] == name for s in stack):
-                    if block:
-                        end_line()
-                    continue
-                top = len(stack) - 1
-                while stack[top][0] != name:
-                    top -= 1
-                below = stack[top - 1][1] if top else PLAIN
-                if block or below != kind:
-                    end_line()
-                del stack[top:]
-                kind = below
-                continue
+        elif m[1]:
+            if open_.get(name):
+                leave(name, block)
+            elif block:
+                end_line()
+        elif block or (m[3] and name not in VOID):
             new = _kind(name, m[3], kind)
             if not block and new == kind:
                 if not m[3].endswith("/"):
-                    stack.append((name, new))
+                    push(name, new)
                 continue
             end_line()
             if name == "hr":
                 continue
             while stack and stack[-1][0] == "p" and name in _P_ENDS:
-                stack.pop()
-                kind = stack[-1][1] if stack else PLAIN
+                kind = pop()
                 new = _kind(name, m[3], kind)
-            stack.append((name, new))
+            push(name, new)
             kind = new
-        elif m[1] and any(s[0] == name for s in stack):
-            top = len(stack) - 1
-            while stack[top][0] != name:
-                top -= 1
-            below = stack[top - 1][1] if top else PLAIN
-            if below != kind:
-                end_line()
-            del stack[top:]
-            kind = below
     end_line()
     return lines, kinds
 
@@ -210,41 +220,25 @@ def _hash(lines: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64).view(np.int64)
 
 
-def _key(host: str, path: str, hashes: np.ndarray) -> int:
-    import xxhash
+_PARSED = "page_id long, url string, host string, path string, k binary, lines array<string>, kinds binary, lengths binary, hashes binary"
 
-    return xxhash.xxh64_intdigest(f"{host}\0{path}\0".encode("utf-8", "surrogatepass") + hashes.tobytes()) - (1 << 63)
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's lines, what they are, and a key of 128 bits that equal pages share."""
+    import xxhash
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _PARSED.split(", ")]
+    types = [pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
     for b in batches:
         rows = []
         for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
             lines, kinds = page_lines(page or "")
             host, path = address(url)
-            hashes = _hash(lines)
-            rows.append((host, path, _key(host, path, hashes), MAIN in kinds, hashes.tobytes()))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["host", "path", "k", "marked", "hashes"])
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages with marked main text: their text. The others: their key and lines."""
-    for b in batches:
-        texts, keys, plain, marked = [], [], [], []
-        for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-            lines, kinds = page_lines(page or "")
-            marked.append(MAIN in kinds)
-            if marked[-1]:
-                texts.append(" ".join(x for x, k in zip(lines, kinds, strict=True) if k == MAIN))
-                keys.append(None)
-                plain.append(None)
-            else:
-                host, path = address(url)
-                texts.append(None)
-                keys.append(_key(host, path, _hash(lines)))
-                plain.append([x if k == PLAIN else None for x, k in zip(lines, kinds, strict=True)])
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(keys, pa.int64()), pa.array(plain, pa.list_(pa.string()))], ["page_id", "url", "text", "k", "lines"])
+            hashes = _hash(lines).tobytes()
+            key = xxhash.xxh3_128_digest(f"{host}\0{path}\0".encode("utf-8", "surrogatepass") + bytes(kinds) + b"\0" + hashes)
+            rows.append((host, path, key, lines, bytes(kinds), np.array(list(map(len, lines)), np.int32).tobytes(), hashes))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,51 +260,78 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def is_copy(kinds: list[int], lengths: list[int], shared: list[bool]) -> bool:
+    """Whether nearly all of a page's text, the marked main text if there is any, lies in shared lines."""
+    own = MAIN if MAIN in kinds else PLAIN
+    total = sum(n for n, k in zip(lengths, kinds, strict=True) if k == own)
+    both = sum(n for n, k, s in zip(lengths, kinds, shared, strict=True) if k == own and s)
+    return total > 0 and both >= COPY * total
+
+
 def _differ(group: pd.DataFrame) -> pd.DataFrame:
-    """The shared lines of the block's own pages that have no marked main text."""
+    """The shared lines of the block's own pages that have a neighbour in their host."""
     group = group.sort_values("rank", ignore_index=True)
     rows = list(group.itertuples(index=False))
+    hashes = [np.frombuffer(r.hashes, np.int64).tolist() for r in rows]
     out = []
     for i, r in enumerate(rows):
-        if r.marked or not r.own:
+        if not r.own:
             continue
-        near = [rows[j] for j in (i - 1, i + 1) if 0 <= j < len(rows) and abs(rows[j].rank - r.rank) == 1 and rows[j].host == r.host]
-        if near:
-            other = max(near, key=lambda x: (_common(x.path, r.path), -x.rank))
-            shared = shared_lines(np.frombuffer(r.hashes, np.int64).tolist(), np.frombuffer(other.hashes, np.int64).tolist())
-            if not all(shared):
-                out.append((r.k, shared))
-    return pd.DataFrame(out, columns=["k", "shared"])
-
-
-def differences(pages: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``k, shared``: of each page without marked main text, by its key, which lines its nearest page has too."""
-    spark = pages.sparkSession
-    keyed = durable(pages.select("url", "html").mapInArrow(_keyed, "host string, path string, k long, marked boolean, hashes binary"), "keyed")
-    one = keyed.groupBy("k").agg(*[F.first(c).alias(c) for c in ("host", "path", "marked", "hashes")])
-    ranged = one.select("host", "path", "k", "marked", "hashes").repartitionByRange(shuffle_partitions(spark), "host", "path", "k").sortWithinPartitions("host", "path", "k")
-    schema = "host string, path string, k long, marked boolean, hashes binary, task int, row long"
-    numbered = durable(ranged.mapInArrow(_numbered, schema), "numbered")
+        kinds, lengths = list(r.kinds), np.frombuffer(r.lengths, np.int32).tolist()
+        found = []
+        for j in (i - 1, i + 1):
+            if 0 <= j < len(rows) and abs(rows[j].rank - r.rank) == 1 and rows[j].host == r.host:
+                shared = shared_lines(hashes[i], hashes[j])
+                found.append((is_copy(kinds, lengths, shared), -_common(rows[j].path, r.path), rows[j].rank, shared))
+        if found:
+            copy, _, _, shared = min(found, key=lambda x: x[:3])
+            out.append((r.k, bytes(shared), copy))
+    return pd.DataFrame(out, columns=["k", "shared", "copy"]).astype({"copy": bool})
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """The lines of every row of ``pages(page_id, url, html)``, written."""
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return durable(mapped(own, _parsed, _PARSED), "parsed")
+
+
+def differences(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``k, shared, copy`` of each page with a neighbour, by its key: a byte for each line that is 1 if the nearest page has it too, and whether that page is a copy."""
+    spark = parsed.sparkSession
+    columns = ("host", "path", "kinds", "lengths", "hashes")
+    one = parsed.groupBy("k").agg(*[F.first(c).alias(c) for c in columns]).select("k", *columns)
+    ranged = one.repartitionByRange(shuffle_partitions(spark), "host", "path", "k").sortWithinPartitions("host", "path", "k")
+    schema = "k binary, host string, path string, kinds binary, lengths binary, hashes binary, task int, row long"
+    numbered = durable(mapped(ranged, _numbered, schema), "numbered")
     before, offsets = 0, []
     for task, n in sorted((r["task"], r["n"]) for r in numbered.groupBy("task").agg(F.count("*").alias("n")).collect()):  # a row for each task
         offsets.append((task, before))
         before += n
-    if not offsets:
-        return spark.createDataFrame([], "k long, shared array<boolean>")
     base = F.broadcast(spark.createDataFrame(offsets, "task int, base long"))
     ranked = numbered.join(base, "task").withColumn("rank", F.col("row") + F.col("base")).drop("task", "row", "base")
     # a page at the edge of a block also goes to the next block, as a neighbour
     own = (F.col("rank") / block).cast("long")
     places = F.array_distinct(F.array(own, ((F.col("rank") - 1) / block).cast("long"), ((F.col("rank") + 1) / block).cast("long")))
     spread = ranked.select("*", own.alias("home"), F.explode(places).alias("block")).withColumn("own", F.col("home") == F.col("block")).drop("home")
-    return spread.groupBy("block").applyInPandas(_differ, "k long, shared array<boolean>")
+    return spread.groupBy("block").applyInPandas(_differ, "k binary, shared binary, copy boolean")
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What differencing and marks leave of each page."""
+    for b in batches:
+        texts, differenced, marked = [], [], []
+        for lines, kinds, shared, copy in zip(*(b.column(c).to_pylist() for c in ("lines", "kinds", "shared", "copy")), strict=True):
+            own = MAIN if MAIN in kinds else PLAIN
+            gone = [bool(s) and k != MAIN for s, k in zip(shared, kinds, strict=True)] if shared is not None and not copy else [False] * len(lines)
+            texts.append(" ".join(x for x, k, g in zip(lines, kinds, gone, strict=True) if k == own and not g))
+            differenced.append(sum(gone))
+            marked.append(sum(k != own and not g for k, g in zip(kinds, gone, strict=True)))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(differenced, pa.int64()), pa.array(marked, pa.int64())], ["page_id", "url", "text", "n_differenced", "n_marked"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text`` for each row of ``pages(page_id, url, html)``."""
-    small_arrow_batches(pages.sparkSession)
-    shared = durable(differences(pages), "shared")
-    own = pages.select("page_id", "url", "html").mapInArrow(_marked, "page_id long, url string, text string, k long, lines array<string>")
-    left = F.filter(F.transform("lines", lambda x, i: F.when(~F.coalesce(F.get("shared", i), F.lit(False)), x)), lambda x: x.isNotNull())
-    joined = own.where("text is null").join(shared, "k", "left").select("page_id", "url", F.array_join(left, " ").alias("text"))
-    return own.where("text is not null").select("page_id", "url", "text").unionByName(joined)
+    """``page_id, url, text`` for each row of ``pages(page_id, url, html)``, and how many lines went by differencing and by marks alone."""
+    parsed = parse(pages)
+    shared = durable(differences(parsed), "shared")
+    joined = parsed.select("page_id", "url", "k", "lines", "kinds").join(shared, "k", "left").select("page_id", "url", "lines", "kinds", "shared", "copy")
+    return mapped(joined, _left, "page_id long, url string, text string, n_differenced long, n_marked long")
