@@ -12,7 +12,7 @@ preceding word so that copied passages count once, are far more frequent than in
 other texts (log-likelihood ratio and odds). Labels are learnt from a bounded
 sample: of each class the rows with the smallest hashes, at most ``TOXIC_ROWS``
 and ``OTHER_ROWS``, so the lexicon, the counts and what the driver gathers are
-bounded too.
+bounded too; documents are read once for the sample and once to be scored.
 
 Cases: null, empty and wordless texts have no match and get the score of no
 match; repeated rows and ties score alike; labels that are null or belong to no
@@ -25,22 +25,22 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import id_and_text, small_arrow_batches, texts
+from prosegauge.llm.common import durable, id_and_text, mapped, texts
 
 #: Labelled rows to learn from, at most, of each class.
 TOXIC_ROWS, OTHER_ROWS = 4_000, 12_000
-#: Lexicon entries kept, those of the largest likelihood ratio.
-ENTRIES = 20_000
 LEAST_RATIO, LEAST_LOG_ODDS = 25.0, 4.0
 #: Occurrences outside toxic texts, at most, for each one counted within: whole words, and word beginnings.
 MOST_OTHER, MOST_OTHER_BEGINNING = 0.02, 0.0
@@ -109,7 +109,9 @@ class Model:
             last = end - closed
             (free if value is None else matches).append((last - length + 1, last, value))
         if free and matches:
-            matches = [m for m in matches if not any(a <= m[0] and m[1] <= b for a, b, _ in free)]
+            free.sort()
+            starts, reach = [f[0] for f in free], list(accumulate((f[1] for f in free), max))  # how far the phrases up to each go
+            matches = [m for m in matches if not (i := bisect_right(starts, m[0])) or reach[i - 1] < m[1]]
         return sum(m[2] for m in matches), text.count(" ") - 1
 
     def feature(self, text: str) -> float:
@@ -172,13 +174,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, mark: str, train: Column,
 
 def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> Model:
     """A model from the labelled documents for which ``train`` (over ``labels``) holds."""
-    small_arrow_batches(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", F.lit(True) if train is None else train, {1: toxic_rows, 0: other_rows})
-    toxic = rows.where("toxic = 1").select("text").mapInArrow(_toxic_contexts, "entry string, before string").distinct().groupBy("entry").agg(F.count("*").alias("t"))
-    other = rows.where("toxic = 0").select("text").mapInArrow(_other_counts, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("o"))
+    rows = durable(rows.select("toxic", "text"), "sample")  # a bounded sample, which several steps read
+    toxic = mapped(rows.where("toxic = 1").select("text"), _toxic_contexts, "entry string, before string").distinct().groupBy("entry").agg(F.count("*").alias("t"))
+    other = durable(mapped(rows.where("toxic = 0").select("text"), _other_counts, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("o")), "others")
     counts = toxic.where("t >= 3").join(other, "entry", "left").select("entry", F.col("t").cast("double"), F.coalesce("o", F.lit(0)).cast("double").alias("o"))
-    from prosegauge.llm.common import durable
-
     counts = durable(counts, "entries")
     all_t = counts.where("entry like '% '").agg(F.sum("t")).first()[0] or 0.0
     all_o = other.where("entry like '% '").agg(F.sum("o")).first()[0] or 0
@@ -190,13 +190,13 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, toxic
     ratio = 2 * (t * F.log(t / (n * share)) + F.when(o > 0, o * F.log(o / (n * (1 - share)))).otherwise(0))
     odds = F.log((t + 0.5) / all_t) - F.log((o + 0.5) / all_o)
     rare = o <= t * F.when(F.col("entry").endswith(" "), MOST_OTHER).otherwise(MOST_OTHER_BEGINNING)
-    chosen = counts.where(rare).select("entry", ratio.alias("ratio"), odds.alias("odds")).where(f"ratio >= {LEAST_RATIO} and odds >= {LEAST_LOG_ODDS}").orderBy(F.desc("ratio"), "entry").limit(ENTRIES).collect()
+    chosen = counts.where(rare).select("entry", ratio.alias("ratio"), odds.alias("odds")).where(f"ratio >= {LEAST_RATIO} and odds >= {LEAST_LOG_ODDS}").collect()  # of the sample's words
     known = {r["entry"]: r["odds"] for r in chosen}
     begin = {e: v for e, v in known.items() if not e.endswith(" ")}
     model.beginnings = {e: v for e, v in begin.items() if not any(e[:k] in begin for k in range(1, len(e)))}
     words = {e[:-1]: v for e, v in known.items() if e.endswith(" ")} | BUILT_IN
     model.words = {w: max(v, known.get(w + " ", 0.0)) for w, v in words.items() if not any(w[:k] in model.beginnings for k in (4, 5) if len(w) > k)}
-    found = rows.select("toxic", "text").mapInArrow(partial(_features, model=model), "toxic int, x double").toPandas()
+    found = mapped(rows, partial(_features, model=model), "toxic int, x double").toPandas()
     y = found["toxic"].to_numpy()
     if 0 < y.sum() < len(y):
         model.slope, model.intercept = fit_curve(found["x"].to_numpy(), y)
@@ -215,11 +215,9 @@ def _filtered(batches: Iterator[pa.RecordBatch], model, least: float, most: floa
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of each row of ``docs``."""
-    small_arrow_batches(docs.sparkSession)
-    return id_and_text(docs).mapInArrow(partial(_scores, model=model), "doc_id long, score double")
+    return mapped(id_and_text(docs), partial(_scores, model=model), "doc_id long, score double")
 
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns."""
-    small_arrow_batches(docs.sparkSession)
-    return docs.mapInArrow(partial(_filtered, model=model, least=0.0, most=threshold), docs.schema)
+    return mapped(docs, partial(_filtered, model=model, least=0.0, most=threshold), docs.schema)
