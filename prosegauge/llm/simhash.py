@@ -35,9 +35,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prosegauge.llm import set_similarity
-from prosegauge.llm.common import durable, id_and_text, shuffle_partitions, small_arrow_batches, texts
+from prosegauge.llm.common import durable, id_and_text, mapped, shuffle_partitions, texts
 from prosegauge.llm.components import connected_components, forest
 
 #: Variants for one shard of the shuffle, about 25 MB.
@@ -49,7 +50,6 @@ MASKS = np.concatenate([np.zeros(1, np.uint64), _BITS, _PAIRS])
 _ONE = np.arange(1, 65, dtype=np.uint16)
 _ODD = np.arange(len(MASKS), dtype=np.uint16)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_ROW = "row_number_"
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -68,10 +68,10 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int((_BITS * (2 * total > n)).sum(dtype=np.uint64))
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], kept: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         own = np.array([fingerprint(t) for t in texts(b)], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(own.view(np.int64))], [*kept, "fp"])
 
 
 def _variants(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -121,44 +121,53 @@ def _links(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(forest(found.tolist()), columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    small_arrow_batches(spark)
-    own = durable(id_and_text(docs).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+def _named(own: DataFrame) -> DataFrame:
+    """``fp, component_id``: the least doc_id of each fingerprint's component, of rows ``doc_id, fp``."""
+    spark = own.sparkSession
     distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     n = distinct.count()
     shards = max(shuffle_partitions(spark), -(-n * 560 // SHARD_VARIANTS))
     parts = max(shuffle_partitions(spark), -(-n // 20_000))
-    variants = distinct.select("fp").repartition(parts).mapInArrow(partial(_variants, shards=shards), "shard int, variants binary, codes binary")
-    links = variants.groupBy("shard").applyInPandas(_links, "a long, b long")
+    variants = mapped(distinct.select("fp").repartition(parts), partial(_variants, shards=shards), "shard int, variants binary, codes binary")
+    # a partition for each shard, more or less, however many there are
+    links = variants.repartition(shards, "shard").groupBy("shard").applyInPandas(_links, "a long, b long")
     roots = durable(connected_components(links), "roots")
     labelled = durable(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "labelled")
     least = durable(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    names = durable(labelled.join(least, "root").select("fp", "component_id"), "names")
-    return own.join(names, "fp").select("doc_id", "fp", "component_id")
+    return durable(labelled.join(least, "root").select("fp", "root", "component_id"), "names")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``."""
+    own = durable(mapped(id_and_text(docs), partial(_fingerprints, kept=("doc_id",)), "doc_id long, fp long"), "fingerprints")
+    return own.join(_named(own), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one that names it.
+    """``docs`` with one row of each near-duplicate group, that of the least doc_id; of equal doc_ids one whose text hashes least.
 
     Groups are those of the fingerprints. Where a similarity is given, they are
     instead those of all pairs whose sets of word shingles have at least that
-    Jaccard similarity, and each row counts for itself, whatever its doc_id; the
-    row of the smallest doc_id stays.
-
-    Without one, rows that share a doc_id count as one document, of which the
-    smallest row stays. Rows without a doc_id can't name a group and stay as they are.
+    Jaccard similarity. Each row counts for itself, whatever its doc_id: rows that
+    share one and have different texts both stay. Of rows equal in doc_id and text
+    one stays. Rows without a doc_id can't name a group and stay as they are.
+    Columns may have any type and name.
     """
-    if similarity is not None:
-        rows = durable(docs.select(F.monotonically_increasing_id().alias(_ROW), *docs.columns), "rows")
-        named = rows.where("doc_id is not null")
-        groups = set_similarity.near_duplicates(named.select(F.col(_ROW).alias("doc_id"), "text"), shingle, similarity)
-        ids = named.select(_ROW, F.col("doc_id").cast("long").alias("name"))
-        best = groups.withColumnRenamed("doc_id", _ROW).join(ids, _ROW).groupBy("component_id").agg(F.min(F.struct("name", _ROW)).alias("r"))
-        kept = durable(best.select(F.col(f"r.{_ROW}").alias(_ROW)), "kept")
-        return named.join(kept, _ROW, "left_semi").unionByName(rows.where("doc_id is null")).select(*docs.columns)
-    kept = durable(near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("r")).select("doc_id", *[F.col("r")[c].alias(c) for c in rest])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    if similarity is None:
+        rows = set_similarity.with_content(docs).where("doc_id is not null")
+        own = durable(mapped(rows, partial(_fingerprints, kept=("doc_id", "g", "h")), "doc_id long, g long, h long, fp long"), "fingerprints")
+        grouped = own.join(_named(own.select("doc_id", "fp")), "fp").select("doc_id", "g", "h", "root")
+    else:
+        grouped = set_similarity.groups(docs, shingle, similarity)
+    each = durable(grouped.groupBy("doc_id", "g", "h").agg(F.first("root").alias("root"), F.count("*").alias("copies")), "each")
+    best = each.groupBy("root").agg(F.min(F.struct("doc_id", "g", "h")).alias("r")).select("r.*").withColumn("best", F.lit(True))
+    judged = durable(each.join(best, ["doc_id", "g", "h"], "left").select("doc_id", "g", "h", "copies", F.coalesce("best", F.lit(False)).alias("best")), "judged")
+    content = [F.xxhash64(F.col("text").cast("string")).alias("g"), F.xxhash64(F.lit(1), F.col("text").cast("string")).alias("h")]
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *content, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"))
+    # what goes is less than what stays, so the texts need not move where it is small
+    out = whole.join(judged.where("not best or copies > 1").select("doc_id", "g", "h"), ["doc_id", "g", "h"], "left_anti").select("own")
+    again = judged.where("best and copies > 1").select("doc_id", "g", "h")
+    if not again.isEmpty():
+        repeated = whole.join(again, ["doc_id", "g", "h"], "left_semi").withColumn("row", F.row_number().over(Window.partitionBy("doc_id", "g", "h").orderBy(F.monotonically_increasing_id())))
+        out = out.unionAll(repeated.where("row = 1").select("own"))
+    return out.select("own.*")
