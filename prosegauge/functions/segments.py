@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicons as lex
@@ -36,6 +36,8 @@ def normalize_text(text: str) -> str:
 
 def normalize(text: Column) -> Column:
     """``normalize_text`` of a column; null counts as empty."""
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
 
     @F.pandas_udf("string")
     def folded(s: pd.Series) -> pd.Series:

@@ -48,9 +48,13 @@ def signals() -> dict[str, Column]:
 
 
 def by_window(segmented: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The same for rows ``key, tokens``: a window over occurrences, then two aggregations."""
-    rows = segmented.where(F.size("tokens") >= LEAST_TOKENS).select(key, F.posexplode("tokens").alias("pos", "w"))
-    rows = rows.where((F.length("w") >= LEAST_LENGTH) & ~F.col("w").isin(lex.BURSTINESS_STOPWORDS))
+    """The same for rows ``key, tokens``: a window over occurrences, then two aggregations.
+
+    Short texts drop out after the outer generator: a test of ``tokens`` before it
+    would be evaluated a second time wherever Spark pushes it.
+    """
+    rows = segmented.select(key, F.posexplode_outer(F.when(F.size("tokens") >= LEAST_TOKENS, F.col("tokens"))).alias("pos", "w"))
+    rows = rows.where(F.col("w").isNotNull() & (F.length("w") >= LEAST_LENGTH) & ~F.col("w").isin(lex.BURSTINESS_STOPWORDS))
     gaps = rows.withColumn("gap", F.col("pos") - F.lag("pos").over(Window.partitionBy(key, "w").orderBy("pos")))
     words = gaps.groupBy(key, "w").agg((F.stddev_samp("gap") / F.avg("gap")).alias("cv"), F.count("gap").alias("n")).where(f"n >= {LEAST_OCCURRENCES - 1}")
     return words.groupBy(key).agg(F.avg("cv").alias("burstiness"))

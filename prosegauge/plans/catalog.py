@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prosegauge.functions import lexicons as lex
 from prosegauge.functions import segments as seg
 from prosegauge.operators import burstiness, compression, formatting, phrases, structure, tone, vocabulary
-from prosegauge.plans import oracle, scoring
+from prosegauge.plans import oracle, oracle_reports, scoring
 from prosegauge.plans.planted import planted
 from prosegauge.sources import reports
 
@@ -133,7 +133,8 @@ def _forms(spark: SparkSession) -> DataFrame:
 @_counted("vocab_stem", "SELECT lemma, count(*) AS n FROM vocab_hits GROUP BY 1")
 def vocab_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each listed word occurs, inflected or not."""
-    words = _segmented(spark, sf_dir).select(F.explode("words").alias("w")).select(seg.cleaned(F.col("w")).alias("c"))
+    # an inner generator would make Spark test the words for emptiness below the exchange, and normalise every text twice
+    words = _segmented(spark, sf_dir).select(F.explode_outer("words").alias("w")).select(seg.cleaned(F.col("w")).alias("c"))
     return words.join(_forms(spark), "c").groupBy("lemma").agg(F.count("*").alias("n"))
 
 
@@ -151,7 +152,7 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock phrases by document and category: the fixed list of 71 meets each text inside its row."""
     terms = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("category")) for c, ps in lex.PHRASES.items() for p in ps])
     rows = _segmented(spark, sf_dir).select("doc_id", "low", F.filter(terms, lambda x: F.contains(F.col("low"), x["p"])).alias("x"))
-    each = rows.select("doc_id", "low", F.inline("x"))
+    each = rows.select("doc_id", "low", F.inline_outer("x")).where("p is not null")  # an inner generator's test would go below the exchange
     return each.groupBy("doc_id", "category").agg(F.sum(vocabulary.count_of(F.col("low"), F.col("p"))).alias("n"))
 
 
@@ -239,6 +240,12 @@ FROM base JOIN raw_sents USING (k_) LEFT JOIN lengths USING (k_)"""
 )
 
 
+@_counted("hit_texts", "")
+def hit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hit of every check as the user reads it, with its place in the check."""
+    return reports.long_hits(_evidence(spark, sf_dir)).select("doc_id", "check", big("place").alias("place"), "hit")
+
+
 @_counted("report_console", "")
 def report_console(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evidence(spark, sf_dir).select("doc_id", reports.console().alias("report"))
@@ -255,3 +262,6 @@ def report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _define()
+ORACLE_SQL["hit_texts"] = oracle_reports.hit_texts()
+ORACLE_SQL["report_console"] = oracle_reports.console()
+ORACLE_SQL["report_markdown"] = oracle_reports.markdown(ORACLE_SQL["text_statistics"])

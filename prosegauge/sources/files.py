@@ -10,9 +10,14 @@ MOST_CHARS = 2_000_000
 
 
 def read_texts(spark: SparkSession, path: str, most_chars: int | None = MOST_CHARS) -> DataFrame:
-    """``path, text`` for each file, decoded as UTF-8 with replacement of bad bytes."""
+    """``path, text, warning`` for each file, decoded as UTF-8 with replacement of bad bytes.
+
+    The warning says that a text was cut; it is null where the file was read whole.
+    """
     text = F.col("value") if most_chars is None else F.substring("value", 1, most_chars)
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), text.alias("text"))
+    cut = F.lit(False) if most_chars is None else F.length("value") > most_chars
+    warning = F.when(cut, F.concat(F.lit("input truncated to "), F.lit(f"{most_chars or 0:,}"), F.lit(" of "), F.format_number(F.length("value"), 0), F.lit(" characters")))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), text.alias("text"), warning.alias("warning"))
 
 
 def write_reports(reports: DataFrame, path: str, column: str = "report") -> None:
