@@ -64,16 +64,18 @@ def cut(n: int, capacity: int = CAPACITY, piece: int = PIECE, tail: int = TAIL)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, end: int, capacity: int, piece: int, memo: int) -> Iterator[pa.RecordBatch]:
+    """The pieces of each text; ``salt``: 64 bits of the document's ids."""
+    import xxhash
+
     codec = library_codec(path, memo)
     tail = np.array([end], "<u4")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
-    row = 0
     for b in batches:
         found = []
         for doc_id, ids in zip(b.column("doc_id").to_pylist(), codec.encode_each(b.column("text")), strict=True):
             raw, n = memoryview(np.concatenate([ids, tail]).tobytes()), len(ids) + 1
-            found += [(doc_id, s, k, zlib.crc32(raw[4 * s : 4 * (s + k)]), n, row) for s, k in cut(n, capacity, piece)]
-            row += 1
+            salt = xxhash.xxh64_intdigest(raw) - (1 << 63)
+            found += [(doc_id, s, k, zlib.crc32(raw[4 * s : 4 * (s + k)]), n, salt) for s, k in cut(n, capacity, piece)]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 6, names)
 
 
@@ -147,11 +149,14 @@ def _pack_group(group: pd.DataFrame, capacity: int, stride: int) -> pd.DataFrame
 def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, memo: int = 300_000) -> DataFrame:
     """The pieces of ``docs(doc_id, text)`` with the sequence and offset of each; ``memo``: pieces of text whose ids a Python worker keeps."""
     cut_up = mapped(id_and_text(docs), partial(_pieces, path=path, end=end, capacity=capacity, piece=piece, memo=memo), PIECES, ENCODER_ROWS)
-    # a row's number within its task tells apart the pieces of repeated rows
-    pieces = durable(cut_up.withColumn("salt", F.xxhash64(F.spark_partition_id(), "salt")), "pieces")
+    pieces = durable(cut_up, "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "salt"), F.lit(groups)))
+    # groups go by content, so that sequences don't depend on how the table is split; rows that repeat, which may be very many, are dealt by their place
+    place = F.xxhash64("doc_id", "salt")
+    again = pieces.where("start = 0").groupBy(place.alias("place")).agg(F.count("*").alias("n")).where("n > 1").select("place", F.lit(True).alias("repeated"))
+    known = pieces.withColumn("place", place).withColumn("own", F.monotonically_increasing_id()).join(durable(again, "repeated"), "place", "left")
+    dealt = known.withColumn("bucket", F.pmod(F.xxhash64("place", "start", F.when(F.col("repeated"), F.col("own"))), F.lit(groups))).drop("place", "own", "repeated")
     # pandas would turn ids beside a null into floats
     whole = dealt.withColumn("named", F.col("doc_id").isNotNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
 

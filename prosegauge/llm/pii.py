@@ -114,11 +114,10 @@ def contexts(left: Column, right: Column) -> Column:
 
 
 def shape(m: Column) -> Column:
-    """Kinds of characters of a token and its length class."""
+    """What a token is made of, and whether it is long enough for its kind to say something."""
     n = F.length(m)
-    size = F.when(n >= 30, "long").when(n >= 20, "middling").when(n >= 6, "short").otherwise("tiny")
-    kind = F.when(m.contains("@"), "@").when(m.rlike(r"^[0-9]+$"), "0").when(m.rlike(r"^[+0-9][0-9() .\-]*$") & ~m.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "0-").when(m.rlike(r"^[0-9.]+$"), "0.").when(m.rlike(r"^[0-9a-f]+$"), "h").otherwise("w")
-    return F.concat(kind, size)
+    kind = F.when(m.contains("@"), "@").when(m.rlike(r"^[0-9]+$"), "0").when(m.rlike(r"^[+0-9][0-9() .\-]*$") & ~m.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "0-").when(m.rlike(r"^[0-9.]+$"), "0.").otherwise("w")
+    return F.concat(kind, F.when(n >= F.when(kind == "w", 16).otherwise(6), "+").otherwise(""))
 
 
 def _digits(m: Column) -> Column:

@@ -1,15 +1,16 @@
 """Quality rules: base counts of a text, and how far its histograms diverge from its language's.
 
 Each text has two histograms: kinds of characters, and the commonest words of
-its language against all others. The references are the sums over all documents
-of the same language, combined in each task and then by language, so a reference
-is the average document, weighed by length. A text is rejected if either
-Jensen-Shannon distance (base 2, 0 to 1) is over its threshold; texts below the
-minimum lengths are too short to tell and only face the base rules.
+its language against all others. They are compared with fixed references of
+running text in that language, so a verdict depends on the text and its language
+alone, never on the table around it; other references can be passed in. A text is
+rejected if either Jensen-Shannon distance (base 2, 0 to 1) is over its
+threshold; texts below the minimum lengths are too short to tell and only face
+the base rules. One pass over the texts, no shuffle.
 
 Cases: null, empty and wordless texts have no words and fail the base rule; a
-null language, or one without a list of common words, is a group like any other
-and has only its characters compared; repeated rows and ties are treated alike;
+null language, or one without references, faces the base rules alone; repeated
+rows and ties are treated alike;
 an empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -17,13 +18,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import durable, mapped, texts
+from prosegauge.llm.common import mapped, texts
 
 LEAST_WORDS = 50
 #: Shortest texts, in code points and words, whose histograms are compared.
@@ -39,6 +41,15 @@ COMMON_WORDS = {
 }
 # Kinds of ASCII characters; those beyond ASCII are a kind of their own.
 KINDS = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "space": " \t\n\x0b\x0c\r", "stop": ".,;:!?'\"()-", "symbol": "#*$%&|<>"}
+# Rounded shares of these kinds, of other ASCII and of characters beyond ASCII in running text.
+KIND_SHARES = {
+    "en": [0.775, 0.025, 0.005, 0.170, 0.024, 0.0, 0.0005, 0.0005],
+    "fr": [0.740, 0.022, 0.005, 0.165, 0.027, 0.0, 0.0005, 0.0405],
+    "de": [0.750, 0.050, 0.005, 0.145, 0.025, 0.0, 0.0005, 0.0245],
+    "es": [0.760, 0.022, 0.005, 0.165, 0.022, 0.0, 0.0005, 0.0255],
+}
+#: By Zipf's law the r-th commonest word has about this share, divided by r.
+ZIPF = 0.06
 SYMBOLS = np.frombuffer(KINDS["symbol"].encode(), np.uint8)
 _BINS = len(KINDS) + 2
 _KIND = np.full(256, len(KINDS), np.int64)  # other ASCII
@@ -46,7 +57,17 @@ for _i, _chars in enumerate(KINDS.values()):
     _KIND[np.frombuffer(_chars.encode(), np.uint8)] = _i
 _KIND[128:] = len(KINDS) + 1
 _FOLLOWS = slice(0x80, 0xC0)  # bytes inside a character
-COLUMNS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_chars long, kinds array<long>, common array<long>"
+COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, characters_js double, words_js double"
+
+
+def word_shares(n: int) -> list[float]:
+    """The shares of a language's ``n`` commonest words, and of all others."""
+    own = [ZIPF / r for r in range(1, n + 1)]
+    return [*own, 1 - sum(own)]
+
+
+#: By language: shares of the kinds of characters, and of its common words.
+REFERENCES = {lang: (KIND_SHARES[lang], word_shares(len(words))) for lang, words in COMMON_WORDS.items()}
 
 
 def repeated_words(words: list[bytes], window: int = 3) -> int:
@@ -63,7 +84,16 @@ def repeated_words(words: list[bytes], window: int = 3) -> int:
     return total
 
 
-def measures(text: str, lang: str | None) -> tuple:
+def divergence(counts: list[int], shares: list[float]) -> float:
+    """Jensen-Shannon distance, base 2, of a histogram of counts and one of shares."""
+    p, q = np.array(counts, float) / sum(counts), np.array(shares, float)
+    q = q / q.sum()
+    half = (p + q) / 2
+    part = lambda x: float((x[x > 0] * np.log2(x[x > 0] / half[x > 0])).sum())
+    return max(0.0, (part(p) + part(q)) / 2) ** 0.5
+
+
+def measures(text: str, lang: str | None, references: dict[str, tuple] = REFERENCES) -> tuple:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
@@ -71,51 +101,32 @@ def measures(text: str, lang: str | None) -> tuple:
     kinds = np.bincount(_KIND, count, _BINS).astype(np.int64)
     chars, spaces = int(count.sum()), int(kinds[3])
     lines = [x for x in raw.split(b"\n") if x.split()]
-    common = []
-    if lang in COMMON_WORDS:
-        own = Counter(w.lower() for w in words)
-        common = [own[w] for w in _COMMON[lang]]
-        common.append(len(words) - sum(common))
-    return len(words), chars - spaces, int(count[SYMBOLS].sum()), len(lines) - len(set(lines)), repeated_words(words), chars, kinds.tolist(), common
+    far = [None, None]
+    if lang in references:
+        if chars >= LEAST_CHARS:
+            far[0] = divergence(kinds.tolist(), references[lang][0])
+        if lang in _COMMON and len(words) >= LEAST_COMMON:
+            own = Counter(w.lower() for w in words)
+            common = [own[w] for w in _COMMON[lang]]
+            far[1] = divergence([*common, len(words) - sum(common)], references[lang][1])
+    return len(words), chars - spaces, int(count[SYMBOLS].sum()), len(lines) - len(set(lines)), repeated_words(words), *far
 
 
 _COMMON = {lang: [w.encode() for w in words] for lang, words in COMMON_WORDS.items()}
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch], references: dict[str, tuple]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    types = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
+    types = [pa.int64()] * 5 + [pa.float64()] * 2
     for b in batches:
-        rows = list(zip(*(measures(t, lang) for t, lang in zip(texts(b), b.column("lang").to_pylist(), strict=True)), strict=True)) or [[]] * len(types)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *(pa.array(list(c), t) for c, t in zip(rows, types, strict=True))], names)
-
-
-def divergence(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of two histograms of counts (arrays of equal length); null without counts."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    n, m = total(p), total(q)
-    share = F.zip_with(p, q, lambda a, b: F.struct((a / n).alias("a"), (b / m).alias("b")))
-    part = lambda x, mid: F.when(x > 0, x * F.log2(x / mid)).otherwise(0.0)
-    js = F.aggregate(share, F.lit(0.0), lambda s, x: s + part(x["a"], (x["a"] + x["b"]) / 2) + part(x["b"], (x["a"] + x["b"]) / 2))
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(js / 2, F.lit(0.0))))
-
-
-def _sums(column: str, size: int) -> list[Column]:
-    return [F.sum(F.get(F.col(column), F.lit(i))).cast("double").alias(f"{column}{i}") for i in range(size)]
+        rows = list(zip(*(measures(t, lang, references) for t, lang in zip(texts(b), b.column("lang").to_pylist(), strict=True)), strict=True)) or [[]] * len(types)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(rows, types, strict=True))], names)
 
 
-def judge(docs: DataFrame, most_characters: float = MOST_CHARACTERS, most_words: float = MOST_WORDS) -> DataFrame:
+def judge(docs: DataFrame, most_characters: float = MOST_CHARACTERS, most_words: float = MOST_WORDS, references: dict[str, tuple] = REFERENCES) -> DataFrame:
     """Counts, distances and verdict of each row of ``docs(doc_id, text, lang)``."""
-    measured = durable(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), _measured, COLUMNS), "measured")
-    size = max(map(len, COMMON_WORDS.values())) + 1
-    sums = measured.groupBy("lang").agg(*_sums("kinds", _BINS), *_sums("common", size))
-    reference = sums.select(F.col("lang").alias("of"), F.array(*[f"kinds{i}" for i in range(_BINS)]).alias("all_kinds"), F.filter(F.array(*[f"common{i}" for i in range(size)]), lambda x: x.isNotNull()).alias("all_common"))
-    reference = durable(reference, "reference")  # a row for each language
-    joined = measured.join(reference, measured["lang"].eqNullSafe(reference["of"]))
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    far = joined.withColumn("characters_js", F.when(F.col("n_chars") >= LEAST_CHARS, divergence(double("kinds"), F.col("all_kinds"))))
-    enough = (F.col("n_words") >= LEAST_COMMON) & (F.size("common") > 0)
-    far = far.withColumn("words_js", F.when(enough, divergence(double("common"), F.col("all_common"))))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    measured = mapped(own, partial(_measured, references=references), COLUMNS)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = (F.coalesce("characters_js", F.lit(0.0)) <= most_characters) & (F.coalesce("words_js", F.lit(0.0)) <= most_words)
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "characters_js", "words_js")
+    return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & near).alias("kept"), "characters_js", "words_js")

@@ -23,18 +23,19 @@ def divergence() -> str:
     js = lambda a, b: (
         f"sqrt(greatest(0, list_sum(list_transform(range(1, len({a}) + 1), lambda i: {_part(a, b)} + {_part(b, a)})) / 2))"
     )
+    shares = lambda values: "[" + ", ".join(f"{x / sum(values)!r}::DOUBLE" for x in values) + "]"
+    references = ", ".join(f"('{lang}', {shares(kinds)}, {shares(common)})" for lang, (kinds, common) in q.REFERENCES.items())
     return f"""
 WITH d AS (SELECT doc_id, lang, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 lowered AS (SELECT *, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS lw FROM d),
 counted AS (SELECT *, CASE lang {cases} END AS named FROM lowered),
 m AS (SELECT rid, doc_id, lang, t, w, length(t) AS n_chars, len(w) AS n_words, [{', '.join(named)}, {other}, {beyond}] AS kinds, list_append(named, (len(w) - list_sum(named))::BIGINT) AS common,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM counted),
-ref_kinds AS (SELECT lang, list(s ORDER BY i) AS all_kinds FROM (SELECT lang, i, sum(v)::DOUBLE AS s FROM (SELECT lang, unnest(kinds) AS v, generate_subscripts(kinds, 1) AS i FROM m) GROUP BY 1, 2) GROUP BY 1),
-ref_common AS (SELECT lang, list(s ORDER BY i) AS all_common FROM (SELECT lang, i, sum(v)::DOUBLE AS s FROM (SELECT lang, unnest(common) AS v, generate_subscripts(common, 1) AS i FROM m WHERE common IS NOT NULL) GROUP BY 1, 2) GROUP BY 1),
+ref(lang, all_kinds, all_common) AS (VALUES {references}),
 windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM m))),
 repeated AS (SELECT rid, count(DISTINCT i + k) AS n FROM windows, (VALUES (0), (1), (2)) o(k) WHERE n > 1 GROUP BY 1),
 joined AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, {js('kinds', 'all_kinds')} AS c_js, {js('common', 'all_common')} AS w_js
-  FROM m JOIN ref_kinds k ON m.lang IS NOT DISTINCT FROM k.lang LEFT JOIN ref_common c ON m.lang IS NOT DISTINCT FROM c.lang LEFT JOIN repeated r USING (rid)),
+  FROM m LEFT JOIN ref ON m.lang = ref.lang LEFT JOIN repeated r USING (rid)),
 base AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM joined)
 SELECT doc_id, n_words::BIGINT AS n_words, list_sum(list_append(list_transform(w, lambda x: length(x)), 0))::BIGINT AS word_chars, kinds[{list(q.KINDS).index('symbol') + 1}]::BIGINT AS n_symbols,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,

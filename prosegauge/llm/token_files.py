@@ -1,11 +1,12 @@
 """Token ids in files: canonical length-limited Huffman codes in independent blocks.
 
-A range shuffle sorts the documents by doc_id. The counts of all ids are summed
-(in each task, then by id), and package-merge gives the best code lengths of at
-most ``LONGEST`` bits; code words are canonical, so the lengths alone are kept.
-Then every range is written as blocks, in files of ascending doc_ids. Spark's own writer holds the blocks (as a binary
-column of Parquet), so a lost task is written again and only whole files count,
-in any store that Spark reaches.
+Texts are encoded where they lie, and their ids wait in a table. The counts of all
+ids are summed (in each task, then by id), and package-merge gives the best code
+lengths of at most ``LONGEST`` bits; code words are canonical, so the lengths alone
+are kept. Then a range shuffle sorts the ids, not the texts, by doc_id, and every
+range is written as blocks, in files of ascending doc_ids. Spark's own writer holds
+the blocks (as a binary column of Parquet), so a lost task is written again and only
+whole files count, in any store that Spark reaches.
 
 A block is, little-endian:
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import ENCODER_ROWS, id_and_text, library_codec, new_path, remove, shuffle_partitions, mapped
+from prosegauge.llm.common import ENCODER_ROWS, id_and_text, library_codec, mapped, new_path, remove, shuffle_partitions
 
 LONGEST = 16
 BLOCK_IDS = 1 << 17
@@ -150,18 +151,11 @@ def decode_block(payload: bytes, table: tuple[np.ndarray, np.ndarray], longest:
 
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str | None, end: int, kind: str, memo: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
     codec = library_codec(path, memo)
     tail = np.array([end], kind)
-    shard, first = TaskContext.get().partitionId(), 0
     for b in batches:
-        raw, firsts = [], []
-        for ids in codec.encode_each(b.column("text")):
-            raw.append(np.concatenate([ids.astype(kind), tail]).tobytes())
-            firsts.append(first)
-            first += len(ids) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([shard] * len(raw), pa.int32()), pa.array(firsts, pa.int64()), b.column("doc_id"), pa.array(raw, pa.binary())], ["shard", "first", "doc_id", "ids"])
+        raw = [np.concatenate([ids.astype(kind), tail]).tobytes() for ids in codec.encode_each(b.column("text"))]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "h", "row")), pa.array(raw, pa.binary())], ["doc_id", "h", "row", "ids"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
@@ -175,24 +169,26 @@ def _counts(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordB
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], kind: str, lengths: bytes, block_ids: int) -> Iterator[pa.RecordBatch]:
+    """One range's documents in order as blocks; ``first``: the range's ids before a block."""
+    from pyspark import TaskContext
+
     size = np.frombuffer(lengths, np.uint8)
     codes = canonical_codes(size)
     width = np.dtype(kind).itemsize
     waiting: list[tuple[int | None, bytes]] = []
-    held, begin = 0, (0, 0)
+    shard, first, held = TaskContext.get().partitionId(), 0, 0
 
     def flush() -> pa.RecordBatch:
-        row = [[begin[0]], [len(waiting)], [begin[1]], [held], [encode_block(waiting, codes, size, kind=kind)]]
+        row = [[shard], [len(waiting)], [first], [held], [encode_block(waiting, codes, size, kind=kind)]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], [c.split()[0] for c in _BLOCKS.split(", ")])
 
     for b in batches:
-        for shard, first, doc_id, raw in zip(*(b.column(c).to_pylist() for c in ("shard", "first", "doc_id", "ids")), strict=True):
+        for doc_id, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
             n = len(raw) // width
-            if waiting and (held + n > block_ids or (shard, first) != (begin[0], begin[1] + held)):
+            if waiting and held + n > block_ids:
                 yield flush()
-                waiting, held = [], 0
-            if not waiting:
-                begin = (shard, first)
+                first, held = first + held, 0
+                waiting.clear()
             waiting.append((doc_id, raw))
             held += n
     if waiting:
@@ -202,17 +198,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], kind: str, lengths: bytes, block_
 def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: int = 2, block_ids: int = BLOCK_IDS, wide: bool = False, memo: int = 600_000) -> None:
     """Write the ids of ``docs(doc_id, text)`` to ``out``: ``codebook`` and ``blocks``, in ranges of ascending doc_ids.
 
-    The texts are dealt by ranges and encoded once; their ids wait in a table
-    (16 bits each, 32 if ``wide``) until the counts of all of them are known.
+    The texts are encoded once; their ids wait in a table (16 bits each, 32 if
+    ``wide``) until the counts of all of them are known.
     ``memo``: pieces of text whose ids a Python worker keeps.
     """
     spark = docs.sparkSession
     kind = "<u4" if wide else "<u2"
     keyed = id_and_text(docs).withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    ranged = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
     wait = new_path(spark, "ids")
-    schema = "shard int, first long, doc_id long, ids binary"
-    mapped(ranged.select("doc_id", "text"), partial(_ids, path=path, end=end, kind=kind, memo=memo), schema, ENCODER_ROWS).write.option("compression", "zstd").parquet(wait)
+    schema = "doc_id long, h long, row long, ids binary"
+    mapped(keyed, partial(_ids, path=path, end=end, kind=kind, memo=memo), schema, ENCODER_ROWS).write.option("compression", "zstd").parquet(wait)
     ids = spark.read.schema(schema).parquet(wait)
     rows = mapped(ids.select("ids"), partial(_counts, kind=kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one row for each id of the vocabulary at most
     counts = np.zeros(max([r["id"] for r in rows], default=0) + 1, np.int64)
@@ -220,8 +215,10 @@ def write_token_files(docs: DataFrame, out: str, path: str | None = None, end: i
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts).tobytes()
     spark.createDataFrame([(LONGEST, lengths)], "longest int, lengths binary").coalesce(1).write.parquet(f"{out}/codebook")
-    blocks = mapped(ids, partial(_blocks, kind=kind, lengths=lengths, block_ids=block_ids), _BLOCKS)
-    blocks.sortWithinPartitions("shard", "first").write.option("compression", "none").parquet(f"{out}/blocks")
+    order = ("doc_id", "h", "row")
+    ranged = ids.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    blocks = mapped(ranged, partial(_blocks, kind=kind, lengths=lengths, block_ids=block_ids), _BLOCKS)
+    blocks.write.option("compression", "none").parquet(f"{out}/blocks")
     remove(spark, wait)
 
 
