@@ -81,10 +81,13 @@ def long_hits(scored: DataFrame, key: str = "doc_id") -> DataFrame:
     return scored.select(key, F.explode(each).alias("x")).select(key, F.col("x.check").alias("check"), F.posexplode("x.hits").alias("place", "hit"))
 
 
-_INLINE = [(re.compile(r"\*\*\*(.+?)\*\*\*"), r"<strong><em>\1</em></strong>"), (re.compile(r"\*\*(.+?)\*\*"), r"<strong>\1</strong>"), (re.compile(r"\*(.+?)\*"), r"<em>\1</em>"), (re.compile(r"(?<!\w)_(.+?)_(?!\w)"), r"<em>\1</em>")]
+# Emphasis, strongest first.
+_INLINE = [(re.compile(r"\*\*\*(.+?)\*\*\*"), r"<strong><em>\1</em></strong>"), (re.compile(r"\*\*(.+?)\*\*"), r"<strong>\1</strong>"), (re.compile(r"\*(.+?)\*"), r"<em>\1</em>"), (re.compile(r"_(.+?)_"), r"<em>\1</em>")]
 _CODE = re.compile(r"`([^`]+)`")
-_LABEL = re.compile(r"\[(CLEAN|MILD|NOTICEABLE|OBVIOUS|BLATANT)\]")
-STYLE = "body{font-family:sans-serif;max-width:52em;margin:2em auto;padding:0 1em;line-height:1.5}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.3em .6em}code{background:#f4f4f4}.clean{color:green}.mild{color:olive}.noticeable{color:orange}.obvious{color:red}.blatant{color:darkred}"
+_RULE = re.compile(r"\|[\s\-:|]+\|")
+LABELS = ("CLEAN", "MILD", "NOTICEABLE", "OBVIOUS", "BLATANT")
+_HOLE = "\ue000"  # stands for a piece of code while emphasis is looked for
+STYLE = "body{font-family:sans-serif;max-width:52em;margin:2em auto;padding:0 1em;line-height:1.5}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.3em .6em}code{background:#f4f4f4}.score-clean{color:green}.score-mild{color:olive}.score-noticeable{color:orange}.score-obvious{color:red}.score-blatant{color:darkred}"
 
 
 def escape(text: str) -> str:
@@ -92,85 +95,75 @@ def escape(text: str) -> str:
 
 
 def inline(text: str) -> str:
-    """Escaped text with code, bold and emphasis; what stands in code is left alone."""
-    pieces = _CODE.split(text)
-    out = []
-    for i, piece in enumerate(pieces):
-        piece = escape(piece)
-        if i % 2:
-            out.append(f"<code>{piece}</code>")
-        else:
-            for pattern, by in _INLINE:
-                piece = pattern.sub(by, piece)
-            out.append(piece)
-    return "".join(out)
+    """Escaped text with code, bold and emphasis; what stands in code is left alone, emphasis may reach over it."""
+    pieces = _CODE.split(escape(text))
+    flat = _HOLE.join(pieces[::2])
+    for pattern, by in _INLINE:
+        flat = pattern.sub(by, flat)
+    code = iter(pieces[1::2])
+    return re.sub(_HOLE, lambda m: f"<code>{c}</code>" if (c := next(code, None)) is not None else m[0], flat)
+
+
+def _cells(line: str, tag: str) -> list[str]:
+    return [f"<{tag}>{inline(c.strip())}</{tag}>" for c in line.split("|")[1:-1]]
 
 
 def markdown_to_html(text: str) -> str:
-    """The Markdown of reports: headings, rules, tables, lists, quotes, paragraphs."""
-    out: list[str] = []
-    open_: str | None = None  # the block that is open: ul, ol, table or p
-    held: list[str] = []
-    body = False
-
-    def close(*kept: str) -> None:
-        nonlocal open_, body
-        if open_ is None or open_ in kept:
-            return
-        if open_ == "p":
-            out.append("<p>" + "<br>\n".join(held) + "</p>")
-            held.clear()
-        elif open_ == "table":
-            out.append(("</tbody>" if body else "") + "</table>")
-            body = False
-        else:
-            out.append(f"</{open_}>")
-        open_ = None
+    """The Markdown of reports: headings, rules, tables, lists, quotes, paragraphs.
 
-    lines = text.split("\n")
-    for i, raw in enumerate(lines):
-        line = raw.strip()
+    One block is open at a time, or a table and nothing else across empty lines.
+    """
+    out: list[str] = []
+    open_: str | None = None
+    ends = {"ul": "</ul>", "ol": "</ol>", "p": "</p>", "table": "</tbody></table>"}
+
+    def enter(block: str | None, *begin: str) -> bool:
+        """Whether another block had to be closed, or none was open, before this one."""
+        nonlocal open_
+        if open_ == block:
+            return False
+        if open_ is not None:
+            out.append(ends[open_])
+        out.extend(begin)
+        open_ = block
+        return True
+
+    lines = [x.strip() for x in text.split("\n")]
+    skipped = -1
+    for i, line in enumerate(lines):
+        if i == skipped:
+            continue
         if not line:
-            close("table")
+            if open_ != "table":
+                enter(None)
         elif re.fullmatch(r"-{3,}", line):
-            close()
+            enter(None)
             out.append("<hr>")
-        elif m := re.match(r"(#{1,6})\s+(.*)", line):
-            close()
-            level, found = len(m[1]), _LABEL.search(m[2])
-            kind = f' class="{found[1].lower()}"' if level == 2 and found else ""
-            out.append(f"<h{level}{kind}>{inline(m[2])}</h{level}>")
+        elif m := re.match(r"(#{1,6})\s+(.+)", line):
+            enter(None)
+            level, said = len(m[1]), inline(m[2])
+            named = [x for x in LABELS if f"[{x}]" in said]
+            kind = f' class="score-{named[-1].lower()}"' if level == 2 and named else ""
+            out.append(f"<h{level}{kind}>{said}</h{level}>")
         elif line.startswith("|"):
-            cells = [c.strip() for c in line.strip("|").split("|")]
-            if all(re.fullmatch(r":?-+:?", c) for c in cells):
-                continue
-            row = lambda tag: "<tr>" + "".join(f"<{tag}>{inline(c)}</{tag}>" for c in cells) + "</tr>"  # noqa: B023, E731
-            if open_ != "table":
-                close()
-                open_ = "table"
-                rule = i + 1 < len(lines) and re.fullmatch(r"\|?[\s:|-]+\|?", lines[i + 1].strip() or "x")
-                if rule and "-" in lines[i + 1]:
-                    out.append(f"<table><thead>{row('th')}</thead><tbody>")
-                    body = True
-                    continue
-                out.append("<table><tbody>")
-                body = True
-            out.append(row("td"))
-        elif m := re.match(r"[-*+]\s+(.*)|\d+\.\s+(.*)", line):
-            kind = "ul" if m[1] is not None else "ol"
-            close(kind)
-            if open_ is None:
-                out.append(f"<{kind}>")
-                open_ = kind
-            out.append(f"<li>{inline(m[1] if m[1] is not None else m[2])}</li>")
-        elif m := re.match(r">\s?(.*)", line):
-            close()
-            out.append(f"<blockquote>{inline(m[1])}</blockquote>")
+            if enter("table", "<table><thead><tr>"):
+                out += [*_cells(line, "th"), "</tr></thead><tbody>"]
+                if i + 1 < len(lines) and _RULE.fullmatch(lines[i + 1]):
+                    skipped = i + 1
+            else:
+                out += ["<tr>", *_cells(line, "td"), "</tr>"]
+        elif m := re.match(r"[-*]\s+(.+)", line):
+            enter("ul", "<ul>")
+            out.append(f"<li>{inline(m[1])}</li>")
+        elif m := re.match(r"\d+\.\s+(.+)", line):
+            enter("ol", "<ol>")
+            out.append(f"<li>{inline(m[1])}</li>")
+        elif line.startswith(">"):
+            enter(None)
+            out.append(f"<blockquote><p>{inline(line.lstrip('> '))}</p></blockquote>")
         else:
-            close("p")
-            open_ = "p"
-            held.append(inline(line))
-    close()
+            out.append(("" if enter("p", "<p>") else "<br>") + inline(line))
+    enter(None)
     return "\n".join(out)
 
 
