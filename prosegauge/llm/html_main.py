@@ -18,8 +18,9 @@ where that is a copy as well unmarked lines stay.
 
 Every page is aligned. A range shuffle sorts line hashes, not texts; neighbours
 are looked up over the global order in blocks, so a host of any size spreads over
-many tasks. Pages are parsed once; work on a page is linear in its length but for
-the alignment.
+many tasks. Pages are parsed twice, for their hashes and for their texts, so that
+only the lines of pages without marked main text move, to meet their alignment. Work
+on a page is linear in its length but for the alignment.
 
 Cases: null and empty html give an empty text; a null or odd URL has an empty
 host and path; pages equal in URL and lines count as one page when neighbours
@@ -220,25 +221,46 @@ def _hash(lines: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64).view(np.int64)
 
 
-_PARSED = "page_id long, url string, host string, path string, k binary, lines array<string>, kinds binary, lengths binary, hashes binary"
+_PARSED = "page_id long, host string, path string, k binary, kinds binary, lengths binary, hashes binary"
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page's lines, what they are, and a key of 128 bits that equal pages share."""
+def _key(host: str, path: str, kinds: list[int], hashes: np.ndarray) -> bytes:
+    """128 bits that equal pages of one address share."""
     import xxhash
 
+    return xxhash.xxh3_128_digest(f"{host}\0{path}\0".encode("utf-8", "surrogatepass") + bytes(kinds) + b"\0" + hashes.tobytes())
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's address and key, and its lines by kind, length and hash."""
     names = [c.split()[0] for c in _PARSED.split(", ")]
-    types = [pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+    types = [pa.string(), pa.string(), *[pa.binary()] * 4]
     for b in batches:
         rows = []
         for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
             lines, kinds = page_lines(page or "")
             host, path = address(url)
-            hashes = _hash(lines).tobytes()
-            key = xxhash.xxh3_128_digest(f"{host}\0{path}\0".encode("utf-8", "surrogatepass") + bytes(kinds) + b"\0" + hashes)
-            rows.append((host, path, key, lines, bytes(kinds), np.array(list(map(len, lines)), np.int32).tobytes(), hashes))
+            hashes = _hash(lines)
+            rows.append((host, path, _key(host, path, kinds, hashes), bytes(kinds), np.array(list(map(len, lines)), np.int32).tobytes(), hashes.tobytes()))
         columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with marked main text: their text. The others: their key, and their lines outside furniture with nulls in its place."""
+    for b in batches:
+        marked, keys, plain = [], [], []
+        for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
+            lines, kinds = page_lines(page or "")
+            if MAIN in kinds:
+                marked.append(" ".join(x for x, k in zip(lines, kinds, strict=True) if k == MAIN))
+                keys.append(None)
+                plain.append(None)
+            else:
+                marked.append(None)
+                keys.append(_key(*address(url), kinds, _hash(lines)))
+                plain.append([x if k == PLAIN else None for x, k in zip(lines, kinds, strict=True)])
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(marked, pa.string()), pa.array(keys, pa.binary()), pa.array(plain, pa.list_(pa.string()))], ["page_id", "url", "text", "k", "lines"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,10 +311,13 @@ def _differ(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["k", "shared", "copy"]).astype({"copy": bool})
 
 
+def _own(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+
+
 def parse(pages: DataFrame) -> DataFrame:
-    """The lines of every row of ``pages(page_id, url, html)``, written."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return durable(mapped(own, _parsed, _PARSED), "parsed")
+    """What the alignment reads of every row of ``pages(page_id, url, html)``, written: address, key, and the lines' kinds, lengths and hashes."""
+    return durable(mapped(_own(pages), _parsed, _PARSED), "parsed")
 
 
 def differences(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -317,21 +342,36 @@ def differences(parsed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What differencing and marks leave of each page."""
+    """What differencing leaves of pages without marked main text."""
     for b in batches:
-        texts, differenced, marked = [], [], []
-        for lines, kinds, shared, copy in zip(*(b.column(c).to_pylist() for c in ("lines", "kinds", "shared", "copy")), strict=True):
-            own = MAIN if MAIN in kinds else PLAIN
-            gone = [bool(s) and k != MAIN for s, k in zip(shared, kinds, strict=True)] if shared is not None and not copy else [False] * len(lines)
-            texts.append(" ".join(x for x, k, g in zip(lines, kinds, gone, strict=True) if k == own and not g))
-            differenced.append(sum(gone))
-            marked.append(sum(k != own and not g for k, g in zip(kinds, gone, strict=True)))
-        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(differenced, pa.int64()), pa.array(marked, pa.int64())], ["page_id", "url", "text", "n_differenced", "n_marked"])
+        out = []
+        for lines, shared, copy in zip(*(b.column(c).to_pylist() for c in ("lines", "shared", "copy")), strict=True):
+            gone = shared if shared is not None and not copy else bytes(len(lines))
+            out.append(" ".join(x for x, g in zip(lines, gone, strict=True) if x is not None and not g))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text`` for each row of ``pages(page_id, url, html)``, and how many lines went by differencing and by marks alone."""
+    """``page_id, url, text`` for each row of ``pages(page_id, url, html)``."""
+    shared = durable(differences(parse(pages)), "shared")
+    own = mapped(_own(pages), _texts, "page_id long, url string, text string, k binary, lines array<string>")
+    moved = own.where("text is null").select("page_id", "url", "k", "lines").join(shared, "k", "left").select("page_id", "url", "lines", "shared", "copy")
+    return own.where("text is not null").select("page_id", "url", "text").unionByName(mapped(moved, _left, "page_id long, url string, text string"))
+
+
+def _fates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        counts = []
+        for kinds, shared, copy in zip(*(b.column(c).to_pylist() for c in ("kinds", "shared", "copy")), strict=True):
+            own = MAIN if MAIN in kinds else PLAIN
+            gone = [bool(s) and k != MAIN for s, k in zip(shared, kinds, strict=True)] if shared is not None and not copy else [False] * len(kinds)
+            counts.append((len(kinds), sum(gone), sum(k != own and not g for k, g in zip(kinds, gone, strict=True)), sum(bool(s) and k == MAIN for s, k in zip(shared or bytes(len(kinds)), kinds, strict=True))))
+        columns = list(zip(*counts, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, pa.int64()) for c in columns)], ["page_id", "n_lines", "n_differenced", "n_marked", "n_protected"])
+
+
+def line_fates(pages: DataFrame) -> DataFrame:
+    """For each page: its lines, those that go by differencing, those that go by marks alone, and shared ones that marks protect."""
     parsed = parse(pages)
-    shared = durable(differences(parsed), "shared")
-    joined = parsed.select("page_id", "url", "k", "lines", "kinds").join(shared, "k", "left").select("page_id", "url", "lines", "kinds", "shared", "copy")
-    return mapped(joined, _left, "page_id long, url string, text string, n_differenced long, n_marked long")
+    both = parsed.select("page_id", "k", "kinds").join(durable(differences(parsed), "shared"), "k", "left").select("page_id", "kinds", "shared", "copy")
+    return mapped(both, _fates, "page_id long, n_lines long, n_differenced long, n_marked long, n_protected long")

@@ -59,11 +59,13 @@ def site(seed=2):
 def test_against_a_plain_version(spark):
     rows = site()
     df = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, k string, lines int")
-    got = {r["page_id"]: (r["text"], r["n_differenced"]) for r in html_main.main_text(df).collect()}
+    fates = {r["page_id"]: r for r in html_main.line_fates(df).collect()}
+    got = {r["page_id"]: (r["text"], fates[r["page_id"]]["n_differenced"]) for r in html_main.main_text(df).collect()}
     want = {r[0]: x for r, x in zip(rows, brute(rows), strict=True)}
     assert got == want
     unmarked = [i for i in range(60) if i % 3]
     assert sum(got[i][1] for i in unmarked) >= 2 * len(unmarked)  # differencing decides
+    assert sum(r["n_protected"] for r in fates.values()) >= 5
     assert all("Common licence line" in got[i][0] for i in range(0, 60, 3))
 
 

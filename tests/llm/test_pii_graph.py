@@ -118,7 +118,7 @@ def planted(seed=3):
     words = [f"w{c}" for c in "abcdefghijklmnop"]
     say = lambda n: " ".join(rng.choices(words, k=n))
     hexa = lambda n, alphabet="0123456789abcdef": "".join(rng.choices(alphabet, k=n))
-    texts = [f"{say(4)} api token = \"{hexa(40)}\" {say(3)}" for _ in range(6)]
+    texts = [f"{say(4)} api token = \"{hexa(40)}\" {say(3)}" for _ in range(12)]
     texts += [f'{say(3)} API TOKEN = "{hexa(40, "0123456789ABCDEF")}" {say(2)}', f'{say(3)} api token = "K9x-{hexa(20)}_Zz" {say(2)}']  # unlike the seeds
     texts += [f"{say(2)} see commit {hexa(40)} {say(2)}" for _ in range(4)]  # no keys
     texts += [f"{say(3)} phone me on +1 (988) 555-{1000 + i} {say(2)}" for i in range(7)] + [f"{say(3)} phone me on 988-555-7777 {say(2)}"]
@@ -145,7 +145,7 @@ def test_planted_identifiers(found):
     texts, got = found
     said = {i: [(x.split(":")[0], texts[i][int(x.split(":")[1]) : int(x.split(":")[2])]) for x in got[i]["spans"].split(",") if x] for i in got}
     secrets = [v for r in said.values() for k, v in r if k == "secret"]
-    assert len(secrets) == 9 and any(v.startswith("K9x-") for v in secrets) and any(v.isupper() for v in secrets)
+    assert len(secrets) == 15 and any(v.startswith("K9x-") for v in secrets) and any(v.isupper() for v in secrets)
     assert ("phone", "988-555-7777") in [x for r in said.values() for x in r]
     assert ("ip", "10.0.300.7") in [x for r in said.values() for x in r]
     assert [r for r in said.values()].count([("email", "root@localhost")]) == 2  # the second stands in no known context
