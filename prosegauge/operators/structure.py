@@ -18,8 +18,9 @@ TOLERANCE, LEAST_RUN = 3, 3
 PARTICIPIAL = r"(?Umd),\s+\w+ing\s+[\w\s]+[.!?]$"
 NEGATIVE_PARALLELISM = r"(?id)(?:it'?s not .{3,40}(?:,|—|-{1,2})\s*it'?s|it'?s less about .{3,40} and more about|not just .{3,40},?\s*but also|more than just .{3,40}\.\s*it'?s)"
 SELF_ANSWER = r"(?Umd)(?:^|\. )(?:The|What|Why|How) [^.?]{3,40}\?\s+[A-Z][^.?]{2,40}\."
-# the first part ends before a comma, which it cannot hold: possessive, it matches the same without going back
-TRICOLON = r"(?Ui)[^,]{2,60}+,\s+[^,]{2,60},?\s+and\s+[^,]{2,60}"
+# the first part ends before a comma, which it cannot hold: possessive, it matches the same without going back. The leftmost
+# match begins where the last one ended, after a comma, or 60 characters before one, so the engine tries no other place
+TRICOLON = r"(?U)(?:\G|(?<=,)|(?=[^,]{60},))[^,]{2,60}+,\s+[^,]{2,60},?\s+(?i:and)\s+[^,]{2,60}"
 BOTH_SIDES = r"(?Uis)on\s+(?:the\s+)?one\s+hand\b.*?\bon\s+the\s+other\s+hand\b"
 ANALOGY = r"(?Uid)just\s+as\s+.{10,80}just\s+as\s+"
 DISCLAIMER = r"(?Ui)(?:this\s+is\s+not\s+(?:an?\s+)?exhaustive|not\s+(?:an?\s+)?exhaustive\s+(?:list|treatment|analysis|overview)|beyond\s+the\s+scope\s+of\s+this|space\s+does\s+not\s+permit|there\s+are[,\s]+of\s+course[,\s]+(?:important\s+)?(?:caveats|limitations)|this\s+analysis\s+has\s+(?:certain\s+)?limitations)"
@@ -55,8 +56,9 @@ def length_std() -> Column:
 
 
 def paragraph_sentences() -> Column:
-    """The sentences of each paragraph: a column of its own, ``para_sents``, as splitting is dear."""
-    return F.transform("paras", seg.sentences)
+    """The sentences of each paragraph: a column of its own, ``para_sents``, as splitting is dear. A text that is one paragraph has been split already."""
+    whole = (F.size("paras") == 1) & (F.get("paras", F.lit(0)) == F.col("t"))
+    return F.when(whole, F.array("sents")).otherwise(F.transform("paras", seg.sentences))
 
 
 def fractal() -> Column:

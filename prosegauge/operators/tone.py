@@ -27,7 +27,8 @@ def signals(df: DataFrame) -> DataFrame:
     bare = F.transform("words", seg.edge_stripped)
     alpha = F.filter("words", lambda w: w.rlike(r"^\p{L}+$"))
     sizes = F.transform(alpha, lambda w: F.length(w).cast("double"))
-    formality = F.transform("sents", lambda s: seg.mean(F.transform(seg.words(s), lambda w: F.length(w).cast("double"))))
+    # the mean length of a sentence's words: its characters but white space, by its words
+    formality = F.zip_with("sents", "sent_words", lambda s, n: F.length(F.regexp_replace(s, rf"(?U){seg.WHITE}+", "")) / n)
     one = df.withColumns({"bare": bare, "alpha_sizes": sizes})
     abstract = F.filter("bare", lambda w: w.rlike("(?:tion|ment|ness|ity)$") & (F.length(w) > 5) & ~w.isin(lex.CONCRETE_NOUNS))
     return one.withColumns(
