@@ -15,9 +15,13 @@ from prosegauge.functions import lexicons as lex
 from prosegauge.functions import segments as seg
 from prosegauge.operators import burstiness, compression, formatting, phrases, structure, tone, vocabulary
 from prosegauge.plans import oracle, oracle_reports, scoring
-from prosegauge.plans.planted import planted
+from prosegauge.plans.planted import literal, planted
 from prosegauge.sources import reports
 
+#: Compatibility forms, letters of other scripts with marks, and what normalisation makes of them, by hand.
+FORMS = " \u0451\u0419 \ufb01 \u2163 \u2460 \u00bd \u2126 \uac00 \u0390 \u3099 \u0e33"
+PLAIN_FORMS = " \u0435\u0418 fi IV 1 1\u20442 \u03a9 \uac00 \u03b9  \u0e32"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -77,6 +81,9 @@ def _define() -> None:
     query("alpha_tokens", {"n": lambda: big(F.size("tokens")), "digest": lambda: digest("tokens")}, "len(tokens) AS n, md5(array_to_string(tokens, '|')) AS digest", _segmented)
     query("edge_stripped_words", {"digest": lambda: digest("bare"), "n_alpha": lambda: big("tone_alpha")}, "md5(array_to_string(bare, '|')) AS digest, n_alpha")
     query("normalize_latin", {"digest": lambda: F.md5("t"), "native": lambda: F.md5(seg.normalize_native(F.col("text")))}, "md5(t) AS digest, md5(t) AS native", _segmented)
+    plain = "".join(map(chr, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]))
+    wide = lambda: F.translate("text", plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+    query("normalize_forms", {"digest": lambda: F.md5(seg.normalize(F.concat(wide(), F.lit(FORMS))))}, f"md5(t || {literal(PLAIN_FORMS)}) AS digest", _segmented)
     query("word_overlap", {"overlap": lambda: six(seg.overlap(F.try_element_at("lines", F.lit(1)), F.try_element_at("lines", F.lit(-1))))}, f"round({oracle.overlap('lines[1]', 'lines[-1]')}, 6) AS overlap", _segmented)
     query(
         "find_line",

@@ -6,7 +6,7 @@ shuffle. Only normalisation and, where a seed is given, compression leave the JV
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.functions import lexicons as lex
@@ -50,6 +50,12 @@ def score(docs: DataFrame, seed: bytes = b"", text: str = "text", native: bool =
     return df.withColumn("score", rounded(total())).withColumn("label", label(F.col("score")))
 
 
+def analyze(spark: SparkSession, text: str | None, seed: bytes = b"") -> dict:
+    """One text's checks (hits and raw score of each), score and label."""
+    row = score(spark.createDataFrame([(text,)], "text string"), seed).first().asDict(recursive=True)
+    return {k: v for k, v in row.items() if k != "text"}
+
+
 def raws(docs: DataFrame, seed: bytes = b"", text: str = "text", native: bool = False) -> DataFrame:
     """The raw scores alone, without the evidence: the fast path for scores and labels."""
     df = prepared(docs, seed, text, native)

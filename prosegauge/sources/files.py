@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from typing import TextIO
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,13 @@ def read_texts(spark: SparkSession, path: str, most_chars: int | None = MOST_CHA
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), text.alias("text"), warning.alias("warning"))
 
 
+def read_stream(spark: SparkSession, stream: TextIO | None = None, most_chars: int = MOST_CHARS) -> DataFrame:
+    """The same for one text from an open stream, standard input unless another is given: path ``-``, at most ``most_chars`` held."""
+    text = (stream or sys.stdin).read(most_chars + 1)
+    warning = f"input truncated to {most_chars:,} characters" if len(text) > most_chars else None
+    return spark.createDataFrame([("-", text[:most_chars], warning)], "path string, text string, warning string")
+
+
 def write_reports(reports: DataFrame, path: str, column: str = "report") -> None:
     """One report after another in text files, each ended by a form feed line."""
     reports.select(F.concat(F.col(column), F.lit("\n\f")).alias("value")).write.text(path)

@@ -22,6 +22,13 @@ def test_empty_and_null(scored):
         assert all(r[c]["raw"] == 0 and r[c]["hits"] == [] for c in scoring.MODULES)
 
 
+def test_one_text(spark, scored):
+    text = "We delve deep. In conclusion, we leverage synergy."
+    (r,) = scored(text)
+    assert scoring.analyze(spark, text) == {k: v for k, v in r.items() if k not in ("doc_id", "text")}
+    assert scoring.analyze(spark, None)["label"] == "CLEAN"
+
+
 def test_vocabulary(scored):
     (r,) = scored("We delve deep and leveraging robust,\na cutting edge feature of marked things")
     assert r["vocabulary"]["hits"] == [

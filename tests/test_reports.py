@@ -1,3 +1,5 @@
+import io
+
 from pyspark.sql import functions as F
 
 from prosegauge.functions.register import register
@@ -39,6 +41,8 @@ def test_files_and_stream(spark, tmp_path):
     assert tuple(df.select("text", "warning").first()) == ("First line.\nSecond line.", None)
     cut = files.read_texts(spark, str(tmp_path / "in"), 5).first()
     assert cut["text"] == "First" and cut["warning"] == "input truncated to 5 of 24 characters"
+    typed = files.read_stream(spark, io.StringIO("typed text"), 5).first()
+    assert tuple(typed) == ("-", "typed", "input truncated to 5 characters") and files.read_stream(spark, io.StringIO("typed")).first()["warning"] is None
     spark.createDataFrame([(1, "We leverage robust synergy here.")], "doc_id long, text string").write.parquet(str(tmp_path / "p"))
     stream = score_stream(spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "p")))
     q = stream.select("doc_id", "score", "label").writeStream.format("memory").queryName("scores").start()
