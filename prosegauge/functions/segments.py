@@ -130,15 +130,22 @@ def mean(values: Column) -> Column:
 
 
 def sample_std(values: Column, least_divisor: int | None = None) -> Column:
-    """Standard deviation with n - 1, in one fold; null for fewer than two values, unless a least divisor is given."""
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).alias("n"))
+    """Standard deviation with n - 1; null for fewer than two values, unless a least divisor is given.
 
-    def finish(a: Column) -> Column:
-        rest = F.greatest(F.lit(0.0), a["q"] - F.try_divide(a["s"] * a["s"], a["n"]))
-        n = a["n"] - 1
-        return F.when(a["n"] > 0, F.sqrt(F.try_divide(rest, F.greatest(n, F.lit(least_divisor)) if least_divisor else n)))
+    In one fold, value by value (Welford), as stddev_samp of SQL does: the score has thresholds that whole
+    numbers meet exactly, where another order of sums falls on the other side. With a least divisor the sum
+    is of squared distances to the mean, as its SQL has it.
+    """
+    if least_divisor:
+        around = lambda m: F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+        return F.when(F.size(values) > 0, F.sqrt(let(mean(values), around) / F.greatest(F.size(values) - 1, F.lit(least_divisor))))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("d"))
+
+    def step(a: Column, x: Column) -> Column:
+        m = a["m"] + (x - a["m"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), m.alias("m"), (a["d"] + (x - m) * (x - a["m"])).alias("d"))
 
-    return F.aggregate(values, zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q"), (a["n"] + 1).alias("n")), finish)
+    return F.aggregate(values, zero, step, lambda a: F.when(a["n"] > 0, F.sqrt(F.try_divide(a["d"], a["n"] - 1))))
 
 
 def clamp(x: Column) -> Column:
