@@ -17,6 +17,9 @@ ten bits, which no affordable ball reaches. Here every pair is found, in three s
    what only near copies have in common.
 3. Every candidate pair is checked on its whole sets.
 
+Where fingerprints are given, the pairs that meet by them (``simhash.proposed``) are
+checked like any other, together with the first links below.
+
 Texts that meet at a shingle are first linked with a few of them, its hubs; only
 pairs whose components still differ are then compared all, and none within a
 shingle's largest component, so a large group of near copies stays linear. Those
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import durable, id_and_text, mapped, shuffle_partitions, texts
+from prosegauge.llm.common import durable, id_and_text, mapped, shuffle_partitions, texts, trimmed
 from prosegauge.llm.components import connected_components
 
 #: Texts whose shingles are counted, and how often one must occur there to count as common.
@@ -273,7 +276,7 @@ def _common_shingles(rows: DataFrame, n: int, shingle: int) -> tuple[np.ndarray,
     sample = rows if share == 1 else rows.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
     shards = max(shuffle_partitions(spark), int(n * share) * WORDS // SHARD_TOKENS + 1)
     packed = mapped(sample.dropDuplicates(["g", "h"]), partial(_sampled, shingle=shingle, shards=shards), "shard int, packed binary")
-    often = packed.groupBy("shard").applyInPandas(_counted, "token long, n long").orderBy(F.desc("n"), "token").limit(MOST_COMMON).toPandas()  # decides what is compared first, not what is found
+    often = packed.groupBy("shard").applyInPandas(trimmed(_counted), "token long, n long").orderBy(F.desc("n"), "token").limit(MOST_COMMON).toPandas()  # decides what is compared first, not what is found
     common, counts = often["token"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)
     order = np.argsort(common)
     return common[order], counts[order]
@@ -292,12 +295,12 @@ def _suspects(rows: DataFrame, n: int, shingle: int, similarity: float, common:
     def enough(shard: pd.DataFrame) -> pd.DataFrame:
         return _enough(shard, similarity)
 
-    counts = spread.repartition(shards, "shard", "part").groupBy("shard", "part").applyInPandas(shared, "shard int, packed binary")
-    return counts.repartition(shards, "shard").groupBy("shard").applyInPandas(enough, "short long")
+    counts = spread.repartition(shards, "shard", "part").groupBy("shard", "part").applyInPandas(trimmed(shared), "shard int, packed binary")
+    return counts.repartition(shards, "shard").groupBy("shard").applyInPandas(trimmed(enough), "short long")
 
 
-def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, g, h, root`` for each row of ``docs(doc_id, text)`` that has a doc_id.
+def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, fingerprints: DataFrame | None = None) -> DataFrame:
+    """``doc_id, g, h, root`` for each row of ``docs(doc_id, text)`` that has a doc_id; ``fingerprints(doc_id, g, h, fp)`` propose pairs.
 
     Texts of at least the given similarity are linked; a component bears the number of one of its texts.
     """
@@ -323,8 +326,8 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFr
 
     packed = "shard int, packed binary"
     entries = mapped(sets.select("id", "own"), partial(_entries, common=common, counts=counts, shards=shards), packed).withColumn("part", F.when(F.col("shard") >= shards, F.spark_partition_id()).otherwise(F.lit(0)))
-    by_owner = entries.repartition(2 * shards, "shard", "part").groupBy("shard", "part").applyInPandas(numbered, packed)
-    met = durable(by_owner.repartition(shards, "shard").groupBy("shard").applyInPandas(prefixes, "token long, id long, n int, at int"), "met")
+    by_owner = entries.repartition(2 * shards, "shard", "part").groupBy("shard", "part").applyInPandas(trimmed(numbered), packed)
+    met = durable(by_owner.repartition(shards, "shard").groupBy("shard").applyInPandas(trimmed(prefixes), "token long, id long, n int, at int"), "met")
 
     # sizes that allow the similarity, and enough shingles left in both after the one at which they meet
     fits = (F.col("n") >= similarity * F.col("m") - 1e-9) & (F.col("m") >= similarity * F.col("n") - 1e-9)
@@ -332,6 +335,11 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFr
     hubs = met.groupBy("token").agg(*[F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("at").alias("bt"))).alias(f"h{k}") for k in range(HUBS)])
     hubs = durable(hubs.select("token", F.explode(F.array_distinct(F.array(*[F.struct(f"h{k}.hub", f"h{k}.m", f"h{k}.bt") for k in range(HUBS)]))).alias("x")).select("token", "x.*"), "hubs")
     near = met.join(hubs, "token").where((F.col("id") != F.col("hub")) & fits).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    if fingerprints is not None:
+        from prosegauge.llm.simhash import proposed
+
+        ids = durable(distinct.select("id", "r.*").join(fingerprints.distinct(), ["doc_id", "g", "h"]).select("id", "fp"), "ids")
+        near = near.unionByName(proposed(ids))
     links = _links(near, sets, similarity, "hub_links")
     roots = durable(connected_components(links), "hub_roots")
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prosegauge.llm import set_similarity
-from prosegauge.llm.common import durable, id_and_text, mapped, shuffle_partitions, texts
+from prosegauge.llm.common import durable, id_and_text, mapped, shuffle_partitions, texts, trimmed
 from prosegauge.llm.components import connected_components, forest
 
 #: Variants for one shard of the shuffle, about 25 MB.
@@ -121,22 +121,39 @@ def _links(shard: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(forest(found.tolist()), columns=["a", "b"], dtype="int64")
 
 
-def _named(own: DataFrame) -> DataFrame:
-    """``fp, component_id``: the least doc_id of each fingerprint's component, of rows ``doc_id, fp``."""
-    spark = own.sparkSession
-    distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+def _linked(distinct: DataFrame) -> DataFrame:
+    """``a, b``: links that join all fingerprints of ``distinct(fp)`` that are within three bits of one another, fewer than fingerprints in each shard."""
+    spark = distinct.sparkSession
     n = distinct.count()
     shards = max(shuffle_partitions(spark), -(-n * 560 // SHARD_VARIANTS))
     parts = max(shuffle_partitions(spark), -(-n // 20_000))
     variants = mapped(distinct.select("fp").repartition(parts), partial(_variants, shards=shards), "shard int, variants binary, codes binary")
     # a partition for each shard, more or less, however many there are
-    links = variants.repartition(shards, "shard").groupBy("shard").applyInPandas(_links, "a long, b long")
-    roots = durable(connected_components(links), "roots")
+    return variants.repartition(shards, "shard").groupBy("shard").applyInPandas(trimmed(_links), "a long, b long")
+
+
+def _named(own: DataFrame) -> DataFrame:
+    """``fp, component_id``: the least doc_id of each fingerprint's component, of rows ``doc_id, fp``."""
+    distinct = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = durable(connected_components(_linked(distinct)), "roots")
     labelled = durable(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "labelled")
     least = durable(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     return durable(labelled.join(least, "root").select("fp", "root", "component_id"), "names")
 
 
+def proposed(ids: DataFrame) -> DataFrame:
+    """``a, b``: pairs of ``ids(id, fp)`` that meet by fingerprint, at most one for each row beside one for each link of fingerprints.
+
+    Rows of one fingerprint meet its least id, and the least ids of linked fingerprints meet each other.
+    """
+    least = durable(ids.groupBy("fp").agg(F.min("id").alias("least")), "least_ids")
+    links = durable(_linked(least.select("fp")).distinct(), "fingerprint_links")
+    same = ids.join(least, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    left = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a")
+    near = left.join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return same.unionByName(near)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``docs(doc_id, text)``."""
     own = durable(mapped(id_and_text(docs), partial(_fingerprints, kept=("doc_id",)), "doc_id long, fp long"), "fingerprints")
@@ -146,19 +163,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, that of the least doc_id; of equal doc_ids one whose text hashes least.
 
-    Groups are those of the fingerprints. Where a similarity is given, they are
-    instead those of all pairs whose sets of word shingles have at least that
-    Jaccard similarity. Each row counts for itself, whatever its doc_id: rows that
+    Groups are those of the fingerprints. Where a similarity is given, pairs that
+    meet by fingerprint stay linked only if their sets of word shingles have at
+    least that Jaccard similarity; pairs that have it and are more than three bits
+    apart are then found by their shingles and linked as well. Each row counts for itself, whatever its doc_id: rows that
     share one and have different texts both stay. Of rows equal in doc_id and text
     one stays. Rows without a doc_id can't name a group and stay as they are.
     Columns may have any type and name.
     """
+    rows = set_similarity.with_content(docs).where("doc_id is not null")
+    own = durable(mapped(rows, partial(_fingerprints, kept=("doc_id", "g", "h")), "doc_id long, g long, h long, fp long"), "fingerprints")
     if similarity is None:
-        rows = set_similarity.with_content(docs).where("doc_id is not null")
-        own = durable(mapped(rows, partial(_fingerprints, kept=("doc_id", "g", "h")), "doc_id long, g long, h long, fp long"), "fingerprints")
         grouped = own.join(_named(own.select("doc_id", "fp")), "fp").select("doc_id", "g", "h", "root")
     else:
-        grouped = set_similarity.groups(docs, shingle, similarity)
+        grouped = set_similarity.groups(docs, shingle, similarity, own)
     each = durable(grouped.groupBy("doc_id", "g", "h").agg(F.first("root").alias("root"), F.count("*").alias("copies")), "each")
     best = each.groupBy("root").agg(F.min(F.struct("doc_id", "g", "h")).alias("r")).select("r.*").withColumn("best", F.lit(True))
     judged = durable(each.join(best, ["doc_id", "g", "h"], "left").select("doc_id", "g", "h", "copies", F.coalesce("best", F.lit(False)).alias("best")), "judged")
