@@ -1,6 +1,7 @@
 """Similarity to a seed corpus by compression: how little xz needs for a text after the seed.
 
-Spark has no such primitive, so this is an Arrow UDF over the standard library.
+Spark has no such primitive, so this is an Arrow UDF over xz, which reads the seed once for each
+worker and not for each text (``xz_state``).
 The seed is a parameter; without one the check gives 0.
 
 The thresholds, weights and texts of hits are fixed values.
@@ -9,16 +10,25 @@ The thresholds, weights and texts of hits are fixed values.
 from __future__ import annotations
 
 import lzma
+from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.functions import segments as seg
+from prosegauge.operators import xz_state
 
 LEAST_BYTES, MOST_BYTES = 100, 1_000_000
 
 
+@lru_cache(maxsize=2)
+def sized(prefix: bytes) -> Callable[[bytes], int]:
+    """The length of xz of ``prefix`` and a text, kept by each worker for the seed and for none."""
+    return xz_state.sizer(prefix)
+
+
 def similarity(text: Column, seed: bytes) -> Column:
     """Null for short texts; texts are cut at a million bytes."""
     alone = len(lzma.compress(seed)) if seed else 0
@@ -30,7 +40,7 @@ def similarity(text: Column, seed: bytes) -> Column:
             if not seed or len(raw) < LEAST_BYTES:
                 return None
             raw = raw[:MOST_BYTES]
-            return 1 - (len(lzma.compress(seed + raw)) - alone) / len(lzma.compress(raw))
+            return 1 - (sized(seed)(raw) - alone) / sized(b"")(raw)
 
         return s.map(one)
 

@@ -171,7 +171,7 @@ def burstiness_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_counted("compression_similarity", "")
 def compression_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against a seed of all the benchmark's texts; its cost grows with them, as xz reads the seed again for each document."""
+    """Against a seed of all the benchmark's texts, which each worker reads once."""
     seed = compression.seed_corpus(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     docs = documents(spark, sf_dir).select("doc_id", seg.normalize(F.col("text")).alias("t"))
     return docs.select("doc_id", compression.similarity(F.col("t"), seed).alias("similarity")).select("doc_id", "similarity", compression.raw().alias("raw"))
