@@ -62,7 +62,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are one piece of one id; repeated rows have pieces each.
     """
-    return packing.pack_documents(docs, memo=100_000)  # executors still hold what the stages before have used
+    return packing.pack_documents(docs, memo=100_000, rows=1000)  # executors still hold what the stages before have used
 
 
 STAGES = [

@@ -187,6 +187,10 @@ class PieceCodec:
 
     #: Bytes of text that are encoded together.
     SLICE = 16_000_000
+    #: New pieces that are learnt together.
+    LEARN = 100_000
+    #: Places of pieces whose ids are gathered together.
+    GATHER = 100_000
 
     def __init__(self, limit: int):
         assert sys.byteorder == "little" and array("I").itemsize == 4
@@ -203,8 +207,9 @@ class PieceCodec:
             places = [i for i, v in enumerate(found) if v is None]
             known = {p: v for p in map(pieces.__getitem__, places) if (v := old.get(p)) is not None}
             new = [p for p in map(pieces.__getitem__, places) if p not in known]
-            for i in range(0, len(new), 100_000):
-                known.update(zip(new[i : i + 100_000], self.learn(new[i : i + 100_000]), strict=True))
+            for i in range(0, len(new), self.LEARN):
+                some = new[i : i + self.LEARN]
+                known.update(zip(some, self.learn(some), strict=True))
             for i in places:
                 found[i] = known[pieces[i]]
             cache.update(known)
@@ -213,16 +218,21 @@ class PieceCodec:
 
     def encode_slice(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
-        pieces = lists.values.dictionary_encode()
+        offsets, pieces = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        del lists  # what is no longer needed goes at once: a slice's parts take several times its text
         values = self.values(pieces.dictionary.to_pylist())
-        each = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool, begin = np.frombuffer(b"".join(values), "<u4"), np.cumsum(each) - each
         index = pieces.indices.to_numpy(zero_copy_only=False)
+        each = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        pool, begin = np.frombuffer(b"".join(values), "<u4"), np.cumsum(each, dtype=np.int32) - each  # a slice's ids are far fewer than 2 ** 31
+        del values, pieces
         counts = each[index]
-        ends = np.cumsum(counts)
-        shift = (begin[index] - (ends - counts)).astype(np.int32)  # a slice's ids are far fewer than 2 ** 31
-        ids = pool[np.repeat(shift, counts) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        return ids, np.append(0, ends)[lists.offsets.to_numpy()]
+        ends = np.append(np.int32(0), np.cumsum(counts, dtype=np.int32))
+        ids = np.empty(ends[-1], "<u4")
+        for i in range(0, len(index), self.GATHER):
+            to = min(i + self.GATHER, len(index))
+            shift = begin[index[i:to]] - ends[i:to]
+            ids[ends[i] : ends[to]] = pool[np.repeat(shift, counts[i:to]) + np.arange(ends[i], ends[to], dtype=np.int32)]
+        return ids, ends[offsets]
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of some texts after another, and where each text's begin (one more at the end); nulls are empty."""
@@ -261,6 +271,8 @@ class LibraryCodec(PieceCodec):
     """
 
     ROW = 100
+    #: The library's result takes some 150 bytes for each id, so few words go to it together.
+    ROWS, LEARN = 50, 10_000
 
     def __init__(self, path: str, limit: int = 300_000):
         super().__init__(limit)
@@ -270,10 +282,7 @@ class LibraryCodec(PieceCodec):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.spaced = Tokenizer.from_file(path)
-        self.spaced.no_truncation()
-        self.spaced.no_padding()
-        self.spaced.normalizer = None
+        self.spaced = Tokenizer(self.tokenizer.model)  # the model is shared; no word of letters alone holds a special token
         self.spaced.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         suffix = self.tokenizer.model.end_of_word_suffix
         vocabulary = self.tokenizer.get_vocab()
@@ -283,6 +292,11 @@ class LibraryCodec(PieceCodec):
         self.parts = TwoGenerationCache(lambda w: self._words([w])[0], limit // 2)
         self.marks: dict[str, bytes] = {}
 
+    def values(self, pieces: list[str]) -> list[bytes]:
+        found = super().values(pieces)
+        release()  # the library's results leave the heap in fragments
+        return found
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
@@ -291,7 +305,10 @@ class LibraryCodec(PieceCodec):
             return []
         spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in words]
         rows = [" ".join(spelled[i : i + self.ROW]) for i in range(0, len(words), self.ROW)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.spaced.encode_batch_fast(rows, add_special_tokens=False)])
+        found = []
+        for i in range(0, len(rows), self.ROWS):
+            found += [np.array(e.ids, "<u4") for e in self.spaced.encode_batch_fast(rows[i : i + self.ROWS], add_special_tokens=False)]
+        ids = np.concatenate(found)
         cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
         if len(cuts) != len(words) + 1:
             raise ValueError("the vocabulary does not mark the ends of words")

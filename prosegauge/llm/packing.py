@@ -146,9 +146,9 @@ def _pack_group(group: pd.DataFrame, capacity: int, stride: int) -> pd.DataFrame
     return group[[*(c.split()[0] for c in PACKED.split(", ")), "named"]]
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, memo: int = 300_000) -> DataFrame:
-    """The pieces of ``docs(doc_id, text)`` with the sequence and offset of each; ``memo``: pieces of text whose ids a Python worker keeps."""
-    cut_up = mapped(id_and_text(docs), partial(_pieces, path=path, end=end, capacity=capacity, piece=piece, memo=memo), PIECES, ENCODER_ROWS)
+def pack_documents(docs: DataFrame, path: str | None = None, end: int = 1, capacity: int = CAPACITY, piece: int = PIECE, group: int = GROUP, memo: int = 300_000, rows: int = ENCODER_ROWS) -> DataFrame:
+    """The pieces of ``docs(doc_id, text)`` with the sequence and offset of each; ``memo``: pieces of text whose ids a Python worker keeps; ``rows``: texts that it encodes together. Neither changes the pieces."""
+    cut_up = mapped(id_and_text(docs), partial(_pieces, path=path, end=end, capacity=capacity, piece=piece, memo=memo), PIECES, rows)
     pieces = durable(cut_up, "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group))
