@@ -271,11 +271,13 @@ class LibraryCodec(PieceCodec):
     """
 
     ROW = 100
-    #: The library's result takes some 150 bytes for each id, so few words go to it together.
-    ROWS, LEARN = 50, 10_000
+    #: The library's result takes some 150 bytes for each id, so with a memo of at most FRUGAL entries few words go to it together, at some CPU time.
+    ROWS, FRUGAL = 50, 100_000
 
     def __init__(self, path: str, limit: int = 300_000):
         super().__init__(limit)
+        self.frugal = limit <= self.FRUGAL
+        self.LEARN = 10_000 if self.frugal else self.LEARN
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -294,7 +296,8 @@ class LibraryCodec(PieceCodec):
 
     def values(self, pieces: list[str]) -> list[bytes]:
         found = super().values(pieces)
-        release()  # the library's results leave the heap in fragments
+        if self.frugal:
+            release()  # the library's results leave the heap in fragments
         return found
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
@@ -305,9 +308,9 @@ class LibraryCodec(PieceCodec):
             return []
         spelled = [w if w.isascii() else w.encode().decode("latin-1").translate(self.table) for w in words]
         rows = [" ".join(spelled[i : i + self.ROW]) for i in range(0, len(words), self.ROW)]
-        found = []
-        for i in range(0, len(rows), self.ROWS):
-            found += [np.array(e.ids, "<u4") for e in self.spaced.encode_batch_fast(rows[i : i + self.ROWS], add_special_tokens=False)]
+        found, step = [], self.ROWS if self.frugal else len(rows)
+        for i in range(0, len(rows), step):
+            found += [np.array(e.ids, "<u4") for e in self.spaced.encode_batch_fast(rows[i : i + step], add_special_tokens=False)]
         ids = np.concatenate(found)
         cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
         if len(cuts) != len(words) + 1:
